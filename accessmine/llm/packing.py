@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -16,12 +18,39 @@ from pyspark.sql import functions as F
 #: Tokens that one task gathers before it packs them: bounds its memory, and padding to under 1 in 256.
 BLOCK_TOKENS = 1 << 20
 #: Words whose ids a task remembers.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 500_000
 #: How the tokenizer cuts a word before it merges (fixed by its file).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Python's split() also cuts at these, the tokenizer does not.
-_odd, _blank = regex.compile("[\x1c-\x1f]"), regex.compile("[ \t\n\r\x0b\x0c]+")
+_odd, _blank = re.compile("[\x1c-\x1f]"), re.compile("[ \t\n\r\x0b\x0c]+")
+#: A comma or stop that doesn't follow a letter or digit may be part of a longer piece.
+_joined = re.compile(r"[,.](?<![^\W_].)")
+
+
+def words(text: str) -> list[str]:
+    """Words whose ids in a row are the text's: what can safely be so is cut off or lower-cased, for fewer distinct ones."""
+    if "<|" not in text and "Σ" not in text and unicodedata.is_normalized("NFC", text):
+        text = text.lower()
+    if not _joined.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+    return [x for x in _blank.split(text) if x] if _odd.search(text) else text.split()
+
+
+class Index(dict):
+    """Numbers words as they come."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def taken(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
 
 
 class WordIds:
@@ -44,7 +73,7 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Index()
         self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
@@ -52,50 +81,43 @@ class WordIds:
 
     def _count(self, word: str) -> int:
         """Pieces in a word, or 0 if only the tokenizer can tell."""
+        if word.isalpha():
+            return 1 if "İ" not in word else 0
+        if word[-1] in ".,;:!?" and word[:-1].isalpha() and "İ" not in word:
+            return 2
         if word.isascii():
-            if word.isalpha():
-                return 1
             if not word.isprintable() or any(s in word for s in self.special):
                 return 0
             return len(self.pieces.findall(word.lower()))
         if "İ" in word or not regex.fullmatch(r"[\p{L}\p{N}\p{P}\p{S}]+", word):
             return 0
-        import unicodedata
-
         return len(self.pieces.findall(word)) if unicodedata.is_normalized("NFC", word) else 0
 
-    def learn(self, words: list[str]) -> None:
-        counts = [self._count(w) for w in words]
-        odd = [w for w, n in zip(words, counts, strict=True) if not n]
-        plain = [(w, n) for w, n in zip(words, counts, strict=True) if n]
-        got, sizes = [], []
-        groups = [plain[k : k + 512] for k in range(0, len(plain), 512)]
-        for group, ids in zip(groups, self._encoded([" ".join(w for w, _ in g) for g in groups]), strict=True):
+    def learn(self, new: list[str]) -> None:
+        """The ids of new words, in their order."""
+        groups = [new[k : k + 512] for k in range(0, len(new), 512)]
+        got, sizes = [self.flat], []
+        for group, ids in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
+            counts = [self._count(w) for w in group]
             ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([n for _, n in group]) - 1
-            if len(ends) == last[-1] + 1 and ends[-1] == len(ids):
+            last = np.cumsum(counts) - 1
+            if all(counts) and len(ends) == last[-1] + 1 and ends[-1] == len(ids):
                 sizes.append(np.diff(ends[last], prepend=0))
             else:
-                own = self._encoded([w for w, _ in group])
-                ids, sizes = np.concatenate(own), [*sizes, np.array([len(x) for x in own])]
+                own = self._encoded(group)
+                ids = np.concatenate(own)
+                sizes.append(np.array([len(x) for x in own]))
             got.append(ids)
-        if odd:
-            own = self._encoded(odd)
-            got.append(np.concatenate(own))
-            sizes.append(np.array([len(x) for x in own]))
-        if got:
-            names = [*(w for w, _ in plain), *odd]
-            self.index.update(zip(names, range(len(self.index), len(self.index) + len(names)), strict=True))
+        if sizes:
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
-            self.flat = np.concatenate([self.flat, *got])
+            self.flat = np.concatenate(got)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        docs = [_blank.split(x) if _odd.search(x) else x.split() for x in texts]
-        words = set().union(*docs)
+        docs = [words(x) for x in texts]
         if len(self.index) > WORDS_KEPT:
             self.forget()
-        self.learn([w for w in words if w not in self.index])
         rows = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(docs)), np.int64, sum(map(len, docs)))
+        self.learn(self.index.taken())
         begin = self.start[rows]
         sizes = self.start[rows + 1] - begin
         total = np.concatenate([[0], np.cumsum(sizes)])

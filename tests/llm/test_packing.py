@@ -13,7 +13,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def test_ids_equal_the_tokenizers():
     t = Tokenizer.from_file(PATH)
-    texts = ["Hello, World! it's 2024 — can't  stop", "été İstanbul ΣΑΣ ß", "<|endoftext|> x<|startoftext|>y", "", " \n", "a b c\x1cd", "日本語テキスト mixed 中文", "😀😀 ok", "they'll we've I'm x's's", "naïve-café’s"]
+    texts = ["Hello, World! it's 2024 — can't  stop", "été İstanbul ΣΑΣ ß", "<|endoftext|> x<|startoftext|>y", "", " \n", "a b c\x1cd", "日本語テキスト mixed 中文", "😀😀 ok", "they'll we've I'm x's's", "naïve-café’s", "Foo, bar. Baz.\nqux,. !, _. x._, ...a, b.", "\x1c", "a\x1f,"]
     ids = packing.WordIds(PATH)
     for _ in range(2):
         assert [x.tolist() for x in ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
