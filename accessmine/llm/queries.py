@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
-from accessmine.llm import common, exact_dedup, mixing, near_dedup, packing, quality
+from accessmine.llm import common, exact_dedup, language_id, mixing, near_dedup, packing, pii, quality, suffix_dedup, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,14 +21,36 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(common.documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).withColumn("held_out", F.coalesce(common.fold(F.col("doc_id"), 5) == 0, F.lit(False)))
+    filters = language_id.learned(docs.where("not held_out and lang is not null").select("text", "lang"))
+    return language_id.identified(docs.select("doc_id", "held_out", "text"), filters).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(common.documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    learn = docs.select("doc_id").where(common.fold(F.col("doc_id"), 3) != 1)
+    out = toxicity.scored(docs.select("doc_id", "text"), learn, common.labels(spark, sf_dir))
+    held_out = F.coalesce(common.fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_report(common.documents(spark, sf_dir))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(common.documents(spark, sf_dir))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(common.documents(spark, sf_dir))
 
@@ -39,7 +62,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_exact_dedup, op5_mixing, op7_quality_rules, op10_near_dedup, pipeline)
+    f.__name__: f
+    for f in (op1_packing, op3_exact_dedup, op4_language_id, op5_mixing, op6_toxicity, op7_quality_rules, op8_suffix_dedup, op9_pii, op10_near_dedup, pipeline)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
