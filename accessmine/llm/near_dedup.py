@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,6 +109,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("_s") + F.size("_t") - both)).select("a", "b")
 
 
+def _several(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, of texts that are in two such buckets at least.
+
+    Texts of Jaccard 0.8 share fewer than two buckets with a chance of 2.6e-6; what met in
+    one bucket only has met by chance.
+    """
+    several = F.min("label").alias("_l"), F.max("label").alias("_h"), F.min("n").alias("_low")
+    split = placed.groupBy("band", "bucket").agg(*several).where("_l <> _h").select("band", "bucket", "_low")
+    rows = placed.drop("_low").join(split, ["band", "bucket"])
+    often = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("node")
+    return stored(rows.join(often, "node", "left_semi"), "open")
+
+
+def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of texts in open buckets that may be linked across components.
+
+    A link between sets of n and m shingles takes percent / (100 + percent) * (n + m) common
+    ones. With shingles in order from rare to common, such sets share one of their first
+    n - that + 1; a text with many shingles of its own has hardly others among these, so
+    the copies of one text don't meet pair by pair.
+    """
+    nodes = open_.groupBy("node").agg(F.min("label").alias("label"), F.min("n").alias("n"), F.min("_low").alias("_low"))
+    tokens = nodes.join(sets, "node").select("node", "label", "n", "_low", F.explode("s").alias("t"))
+    # shingles of one component link nothing
+    use = tokens.groupBy("t").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.count(F.lit(1)).alias("f")).where("_l <> _h").select("t", "f")
+    common = F.ceil(percent * (F.col("n") + F.greatest("_low", F.ceil(F.col("n") * percent / 100))) / (100 + percent))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "t"))
+    shared = tokens.join(use, "t").withColumn("r", rank).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("node")))
+    # the shingles left out are the rarest: they fill the first places
+    place = F.col("r") + F.col("n") - F.col("c")
+    first = shared.where(place <= F.col("n") - common + 1).select("t", "node", "label", "n", place.alias("r"))
+    x, y = first.toDF("t", "a", "_la", "_na", "_ra"), first.toDF("t", "b", "_lb", "_nb", "_rb")
+    # the first common shingle leaves room for so many common ones in either set
+    room = 1 + F.least(F.col("_na") - F.col("_ra"), F.col("_nb") - F.col("_rb"))
+    pairs = x.join(y, "t").where((F.col("_la") > F.col("_lb")) & ((100 + percent) * room >= percent * (F.col("_na") + F.col("_nb"))))
+    return pairs.select("a", "b").distinct()
+
+
 def near_groups(docs: DataFrame, shingle_words: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -119,9 +157,9 @@ def near_groups(docs: DataFrame, shingle_words: int = 2, percent: int = 80) -> D
 
     1. Equal sets make a class, by 128-bit fingerprints, with its smallest doc_id in front.
     2. Classes that share a band meet in a bucket. Each is compared with the bucket's
-       smallest; verified links give components. Buckets that still hold several
-       components compare those classes that are not yet together, so no link is lost
-       while copies of one text never meet pair by pair.
+       smallest; verified links give components. Classes in buckets that still hold
+       several components are compared across components by an exact prefix filter, so no
+       link is lost while copies of one text never meet pair by pair.
     """
     rows = docs.select("doc_id", lowered(F.col("text")).alias("text"))
     marked = stored(rows.select("doc_id", _sketches(shingle_words)("text").alias("_k")).select("doc_id", "_k.*"), "sketches")
@@ -141,11 +179,7 @@ def near_groups(docs: DataFrame, shingle_words: int = 2, percent: int = 80) -> D
     labels = components(links)
     # what is left: buckets that hold several components
     placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("band", "bucket", "node", "n", "label")
-    split = placed.groupBy("band", "bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h").select("band", "bucket")
-    open_ = stored(placed.join(split, ["band", "bucket"]), "open")
-    x = open_.select("band", "bucket", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("label").alias("_la"))
-    y = open_.select("band", "bucket", F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("label").alias("_lb"))
-    rest = x.join(y, ["band", "bucket"]).where((F.col("_la") > F.col("_lb")) & fits(F.col("_na"), F.col("_nb"))).select("a", "b").distinct()
+    rest = _rest(_several(_several(placed)), sets, percent)
     tried = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     late = stored(_confirmed(rest.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
     if not late.isEmpty():

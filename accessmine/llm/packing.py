@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Tokens that one task gathers before it packs them: bounds its memory, and padding to under 1 in 256.
 BLOCK_TOKENS = 1 << 20
 #: Words whose ids a task remembers.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 #: How the tokenizer cuts a word before it merges (fixed by its file).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 

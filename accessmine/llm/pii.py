@@ -217,5 +217,6 @@ def detected(docs: DataFrame) -> DataFrame:
 
 def pii_report(docs: DataFrame) -> DataFrame:
     spans = detected(docs)
-    counts = [F.size(F.filter("base", lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
     return spans.select("doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("all")).alias("spans"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from accessmine.llm import common, exact_dedup, language_id, mixing, near_dedup, packing, pii, quality, suffix_dedup, toxicity
+from accessmine.llm import common, exact_dedup, language_id, license_scan, mixing, near_dedup, packing, pii, quality, suffix_dedup, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(common.documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(common.documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(common.documents(spark, sf_dir))
 
@@ -63,11 +67,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op3_exact_dedup, op4_language_id, op5_mixing, op6_toxicity, op7_quality_rules, op8_suffix_dedup, op9_pii, op10_near_dedup, pipeline)
+    for f in (op1_packing, op2_license_scan, op3_exact_dedup, op4_language_id, op5_mixing, op6_toxicity, op7_quality_rules, op8_suffix_dedup, op9_pii, op10_near_dedup, pipeline)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE: dict[str, str] = {
+    "op2_license_scan": license_scan.oracle(),
     "op3_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_NORM} AS norm FROM documents),
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)

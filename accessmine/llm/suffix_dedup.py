@@ -86,7 +86,7 @@ def _all_runs(length: int, gram: int):
                 rows.append((row0 + which[r], p + p0[which[r]], n, at, core, tid))
 
         with np.errstate(over="ignore"):
-            for i, j in steps(bounds):
+            for i, j in steps(bounds, STEP_BYTES):
                 size = bounds[j] - bounds[i]
                 if size <= 2 * STEP_BYTES:
                     first = bounds[i:j] - bounds[i]
