@@ -63,7 +63,7 @@ def nmf(up: DataFrame, k: int, max_iter: int = 60, tol: float = 1e-4, seed: int
             yield pd.DataFrame({"r": np.arange(k), "top": list(top), "bottom": list(bottom), "err": err})
 
         sums = rows.mapInPandas(partial, "r int, top array<double>, bottom array<double>, err double")
-        summed = sums.groupBy("r").agg(*[F.transform(F.array_sort(F.collect_list(F.struct(F.monotonically_increasing_id().alias("o"), c))), lambda s, c=c: s[c]).alias(c) for c in ("top", "bottom")], F.sum("err").alias("err"))
+        summed = sums.groupBy("r").agg(*[F.collect_list(c).alias(c) for c in ("top", "bottom")], F.sum("err").alias("err"))
         got = {r["r"]: r for r in summed.collect()}
         top = np.array([np.sum(got[r]["top"], axis=0) for r in range(k)])
         bottom = np.array([np.sum(got[r]["bottom"], axis=0) for r in range(k)])

@@ -38,7 +38,7 @@ def distance_sums(points: DataFrame, labels: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     rows = rows.withColumn("bx", block)
     left = rows.withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.withColumn("by", F.col("bx")).drop("bx").withColumn("bx", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = rows.toDF("id", "embedding", "label", "by").withColumn("bx", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -52,7 +52,7 @@ def distance_sums(points: DataFrame, labels: DataFrame) -> DataFrame:
             out.append(pd.DataFrame({"id": a["id"], "own": a["label"], "label": label, "total": d[:, own].sum(1), "n": int(own.sum())}))
         return pd.concat(out)
 
-    pairs = left.groupBy("bx", "by").cogroup(right.groupBy("bx", "by")).applyInPandas(sums, "id long, own long, label long, total double, n long")
+    pairs = left.alias("l").groupBy("bx", "by").cogroup(right.alias("r").groupBy("bx", "by")).applyInPandas(sums, "id long, own long, label long, total double, n long")
     return pairs.groupBy("id", "own", "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 

@@ -82,7 +82,7 @@ def h7_davies_bouldin(v: Iam) -> DataFrame:
     return metrics.davies_bouldin(v.points, v.point_labels)
 
 
-@query(_CENT + ", g AS (SELECT list(m ORDER BY i) AS g FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM points) GROUP BY i)), b AS (SELECT sum(n * list_distance(c, g) ** 2) AS b, count(*) AS k FROM cent, g), w AS (SELECT sum(list_distance(e, c) ** 2) AS w, count(*) AS n FROM points p JOIN cent ON p.label = cent.label) SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS calinski_harabasz FROM b, w")
+@query(_CENT + ", g AS (SELECT list(m ORDER BY i) AS g FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM points) GROUP BY i)), bt AS (SELECT sum(n * list_distance(c, g) ** 2) AS b, count(*) AS k FROM cent, g), wt AS (SELECT sum(list_distance(e, c) ** 2) AS w, count(*) AS n FROM points p JOIN cent ON p.label = cent.label) SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS calinski_harabasz FROM bt, wt")
 def h8_calinski_harabasz(v: Iam) -> DataFrame:
     return metrics.calinski_harabasz(v.points, v.point_labels)
 
@@ -103,7 +103,7 @@ def h11_role_overlap(v: Iam) -> DataFrame:
     return metrics.role_overlap(_role_perms(v))
 
 
-@query("SELECT round((SELECT sum(permission_count) / sum(original_permissions)::DOUBLE FROM roles), 6) AS system_coverage, (SELECT count(DISTINCT permission_id) FROM role_perms) AS unique_role_permissions, round(1 - (SELECT count(DISTINCT permission_id) FROM role_perms) / (SELECT count(*) FROM permissions)::DOUBLE, 6) AS compression")
+@query("SELECT round(coalesce((SELECT sum(permission_count) / sum(original_permissions)::DOUBLE FROM roles), 0), 6) AS system_coverage, (SELECT count(DISTINCT permission_id) FROM role_perms) AS unique_role_permissions, round(1 - (SELECT count(DISTINCT permission_id) FROM role_perms) / (SELECT count(*) FROM permissions)::DOUBLE, 6) AS compression")
 def h12_permission_compression(v: Iam) -> DataFrame:
     return metrics.permission_compression(_roles(v), _role_perms(v), v.permissions.agg(F.count(F.lit(1)).alias("n")))
 
@@ -129,7 +129,7 @@ def _at(v: Iam, grouping: int, impact: float) -> DataFrame:
 
 
 def _at_sql(model: str, ord_: int, grouping: int, impact: float) -> str:
-    return f"SELECT '{model}' AS model, {ord_} AS ord, count(*) AS num_roles, (SELECT count(*) FROM labels) - sum(size) AS num_noise, avg(size) AS avg_size, avg(pc) AS avg_permission_count FROM (SELECT s.label, s.size, count(*) FILTER (frequency >= {impact} - 1e-12) AS pc FROM sizes s JOIN freq f ON f.label = s.label WHERE s.size >= {grouping} GROUP BY s.label, s.size)"
+    return f"SELECT '{model}' AS model, CAST({ord_} AS BIGINT) AS ord, count(*) AS num_roles, (SELECT count(*) FROM labels) - coalesce(sum(size), 0) AS num_noise, avg(size) AS avg_size, avg(pc) AS avg_permission_count FROM (SELECT s.label, s.size, count(*) FILTER (frequency >= {impact} - 1e-12) AS pc FROM sizes s JOIN freq f ON f.label = s.label WHERE s.size >= {grouping} GROUP BY s.label, s.size)"
 
 
 _MODELS = f", m AS ({_at_sql('small', 0, 50, 0.3)} UNION ALL {_at_sql('large', 1, 60, 0.3)} UNION ALL {_at_sql('loose', 2, 40, 0.2)}), c AS (SELECT model, ord, num_roles, CAST(num_noise AS BIGINT) AS num_noise, 100.0 * num_noise / (SELECT count(*) FROM labels) AS noise_pct, avg_size, avg_permission_count FROM m)"
