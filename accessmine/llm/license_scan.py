@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accessmine.llm.common import WORD, lowered
+from accessmine.llm.common import WORD, lowered, stored
 
 #: Statements to find, fixed values.
 TEMPLATES = {
@@ -37,10 +37,6 @@ def _joined(words: Column, i: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def coordinate(values: Column, band: int) -> Column:
-    return F.array_min(F.transform(values, lambda s: F.xxhash64(F.lit(band), s)))
-
-
 def _ranked(band: int):
     return lambda s: F.struct(F.xxhash64(F.lit(band), s).alias("h"), s.alias("s"))
 
@@ -72,24 +68,26 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
     templates = TEMPLATES if templates is None else templates
     own = pieces(spark, templates)
     lowest = [F.array_min(F.transform("part", _ranked(b))) for b in range(BANDS)]
-    signed = own.select("template", "piece", "part", F.posexplode(F.array(*lowest)).alias("band", "low"))
+    signed = own.select("template", "piece", F.posexplode(F.array(*lowest)).alias("band", "low")).select("template", "piece", "band", "low.h", "low.s")
     # as many values as bands and pieces at most, for any number of documents
-    keys = [r["s"] for r in signed.select("low.s").distinct().collect()]
+    keys = sorted(r["s"] for r in signed.select("s").distinct().collect())
     starts = sorted({k.split(" ")[0] for k in keys})
     words = F.regexp_extract_all(lowered(F.col("text")), F.lit(WORD), F.lit(0))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), words.alias("w")).where(F.size("w") >= SHINGLE)
-    # places whose first word begins one of the wanted shingles, then those that hold one
-    places = F.filter(F.transform("w", lambda x, i: F.when(x.isin(starts), i)), lambda i: i.isNotNull() & (i <= F.size("w") - SHINGLE))
-    rows = rows.withColumn("p", places).where(F.size("p") > 0)
-    rows = rows.withColumn("p", F.filter("p", lambda i: _joined(F.col("w"), i).isin(keys))).where(F.size("p") > 0)
-    window = F.array_distinct(F.flatten(F.transform("p", lambda i: F.array(F.floor(i / STRIDE), F.floor(i / STRIDE) - 1))))
-    spots = rows.select("doc_id", "_key", "w", F.explode(window).alias("at")).where("at >= 0")
-    held = F.transform(F.sequence(F.col("at") * STRIDE, F.least(F.col("at") * STRIDE + WINDOW, (F.size("w") - SHINGLE + 1).cast("long")) - 1), lambda i: _joined(F.col("w"), i))
-    spots = spots.where(F.col("at") * STRIDE <= F.size("w") - SHINGLE).select("doc_id", "_key", "at", F.array_distinct(held).alias("held"))
-    bands = spots.select("doc_id", "_key", "at", "held", F.posexplode(F.array(*[coordinate(F.col("held"), b) for b in range(BANDS)])).alias("band", "h"))
-    met = bands.join(F.broadcast(signed.select("band", F.col("low.h").alias("h"), "template", "piece", "part")), ["band", "h"])
-    met = met.groupBy("doc_id", "_key", "at", "template", "piece").agg(F.max(F.size(F.array_intersect("held", "part"))).alias("n"))
-    best = met.groupBy("doc_id", "_key", "template", "piece").agg(F.max("n").alias("n"))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), words.alias("w"))
+    # places whose first word begins a wanted shingle (the outer form keeps the words from being cut twice), then those that hold one
+    begins = F.filter(F.transform("w", lambda x, i: F.when(x.isin(starts), i)), lambda i: i.isNotNull() & (i <= F.size("w") - SHINGLE))
+    spots = rows.select("doc_id", "_key", "w", F.explode_outer(begins).alias("p")).where("p is not null").where(_joined(F.col("w"), F.col("p")).isin(keys))
+    spots = spots.select("doc_id", "_key", "w", F.explode(F.array(F.floor(F.col("p") / STRIDE), F.floor(F.col("p") / STRIDE) - 1)).alias("at")).where("at >= 0")
+    last = F.least(F.col("at") * STRIDE + WINDOW, (F.size("w") - SHINGLE + 1).cast("long")) - 1
+    held = spots.select("doc_id", "_key", "at", "w", F.explode(F.sequence(F.col("at") * STRIDE, last)).alias("i"))
+    held = stored(held.select("doc_id", "_key", "at", _joined(F.col("w"), F.col("i")).alias("s")).distinct(), "windows")
+    signature = held.groupBy("doc_id", "_key", "at").agg(*[F.min(F.xxhash64(F.lit(b), "s")).alias(f"m{b}") for b in range(BANDS)])
+    bands = signature.select("doc_id", "_key", "at", F.posexplode(F.array(*[f"m{b}" for b in range(BANDS)])).alias("band", "h"))
+    met = bands.join(F.broadcast(signed.select("template", "piece", "band", "h")), ["band", "h"]).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), F.col("at").alias("_at"), "template", "piece").distinct()
+    parts = own.select("template", "piece", F.explode("part").alias("s"))
+    both = held.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")) & (F.col("at") == F.col("_at")))
+    count = both.join(F.broadcast(parts), ["template", "piece", "s"]).groupBy("doc_id", "_key", "at", "template", "piece").agg(F.count(F.lit(1)).alias("n"))
+    best = count.groupBy("doc_id", "_key", "template", "piece").agg(F.max("n").alias("n"))
     total = own.groupBy("template").agg(F.sum(F.size("part")).alias("total"))
     out = best.groupBy("doc_id", "_key", "template").agg(F.sum("n").alias("matched")).join(F.broadcast(total), "template")
     out = out.withColumn("containment", F.col("matched") / F.col("total")).where(F.col("containment") >= least)

@@ -163,7 +163,9 @@ def reliabilities(bits: np.ndarray, n: np.ndarray, rounds: int = 80) -> np.ndarr
         # a labeler is taken to be better than chance, which keeps the two sides from changing places
         p1 = (w1 @ bits + 1.8) / (w1.sum() + 2)
         p0 = np.minimum((w0 @ bits + 0.6) / (w0.sum() + 2), p1)
-        odds = np.log(prior / (1 - prior)) + bits @ np.log(p1 / p0) + (1 - bits) @ np.log((1 - p1) / (1 - p0))
+        # where the base rule is silent it abstains: what it drops in full may still hold a span
+        against = np.log((1 - p1) / (1 - p0)) * (np.arange(bits.shape[1]) > 0)
+        odds = np.log(prior / (1 - prior)) + bits @ np.log(p1 / p0) + (1 - bits) @ against
         post = np.where(bits[:, 0] > 0, 0.99, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
     return post
 
@@ -192,8 +194,9 @@ def accepted(found: DataFrame, least: float = 0.5) -> dict[str, list[int]]:
         if own:
             bits = np.array([[r["votes"] >> k & 1 for k in range(len(LABELERS))] for r in own], float)
             n = np.array([r["n"] for r in own], float)
-            w = classifier(bits, reliabilities(bits, n), n)
-            out[kind] = [r["votes"] for r, s in zip(own, bits @ w[:-1] + w[-1], strict=True) if s > np.log(least / (1 - least)) and r["votes"] & 2]
+            # the classifier sees what any span has, not whether the base rule took it
+            w = classifier(bits[:, 1:], reliabilities(bits, n), n)
+            out[kind] = [r["votes"] for r, s in zip(own, bits[:, 1:] @ w[:-1] + w[-1], strict=True) if s > np.log(least / (1 - least)) and r["votes"] & 2]
     return out
 
 
