@@ -138,7 +138,8 @@ def judged(docs: DataFrame, labels: DataFrame, allowed: float = FALSE_REJECTION,
 
 def quality_filtered(docs: DataFrame, labels: DataFrame, allowed: float = FALSE_REJECTION, error: float = ERROR) -> DataFrame:
     """The rows of docs that pass; columns as they were."""
-    found = cutoffs(holdout(with_measures(docs.select("doc_id", "text")).drop("text"), labels), allowed, error)
+    measures = stored(with_measures(docs.select("doc_id", "text")).drop("text"), "quality")
+    found = cutoffs(holdout(measures, labels), allowed, error)
     return with_measures(docs.select(F.struct("*").alias("_doc"), "text")).where(verdict(found)).select("_doc.*")
 
 

@@ -216,7 +216,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first
     marked = keyed.where(F.octet_length("text") >= length)
     rows = marked.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), "_key", F.explode(_all_runs(length, gram)("text")).alias("r")).select("_id", "_key", "r.*")
     rows = stored(rows, "runs")
-    twice = rows.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core")
+    # a table of its own, so that the join below can split a crowded core among tasks
+    twice = stored(rows.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core"), "cores")
     rows = stored(rows.join(twice, "core"), "runs")
     strings = rows.groupBy("core", "tid").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_key", "p")).alias("rep"), F.first("n").alias("n"), F.first("at").alias("at"))
     strings = stored(strings, "strings")
