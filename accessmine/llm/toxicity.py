@@ -24,6 +24,8 @@ CONTEMPT = "scum trash garbage vermin filth worthless disgusting subhuman parasi
 #: Most mined words and most mined word beginnings.
 WORDS, STEMS, STEM = 4000, 2000, 5
 LEAST_DOCS, LEAST_PRECISION = 5, 0.7
+#: Labelled documents to learn from, at most: those with the lowest hashes of their ids.
+LABELLED = 100_000
 VOTERS = ("insults", "contempt", "words_a", "words_b", "stems_a", "stems_b", "dense", "shouting", "exclaiming", "repeated")
 
 _word = re.compile(r"[^\W\d_]+")
@@ -134,7 +136,7 @@ def scored(docs: DataFrame, learn: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and ``score`` for every row of docs (doc_id, text).
 
     learn: (doc_id) of the documents to learn from; labels: (doc_id, toxic), of which only
-    those in learn are used. A null or empty text has no term and gets the score of such a
+    those in learn are used, and of these LABELLED at most. A null or empty text has no term and gets the score of such a
     text; repeated rows are scored alike; an empty table gives an empty result. Without
     labels the seed lexicons and patterns vote alone.
 
@@ -143,8 +145,10 @@ def scored(docs: DataFrame, learn: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = stored(marks.join(learn.select("doc_id").distinct(), "doc_id", "left_semi"), "labels")
-    words, stems = mined(docs.select("doc_id", "text").join(marks, "doc_id"))
+    marks = marks.join(learn.select("doc_id").distinct(), "doc_id", "left_semi")
+    marks = stored(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "labels")
+    # few enough to go to the texts, which then aren't shuffled
+    words, stems = mined(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"))
     voted = stored(docs.select("doc_id", _voting(words, stems, spark)("text").alias("_v")).select("doc_id", "_v.*"), "votes")
     pool = voted.join(learn.select("doc_id").distinct(), "doc_id", "left_semi").join(marks, "doc_id", "left").withColumn("label", F.coalesce("toxic", F.lit(-1)))
     pool = stored(pool.groupBy("terms", "votes", "label").agg(F.count(F.lit(1)).alias("n")), "pool")
