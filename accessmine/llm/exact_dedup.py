@@ -137,5 +137,8 @@ def exact_groups(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int =
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the rows that :func:`exact_groups` drops; columns as they were."""
-    gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    # by id and text, as ids can be null or repeated; the hash is a column so that sorting doesn't work it out again
+    gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha256"))
+    rows = docs.withColumn("_own_sha256", F.sha2(lowered(F.col("text")), 256))
+    same = rows["doc_id"].eqNullSafe(gone["_gone"]) & (rows["_own_sha256"] == gone["_gone_sha256"])
+    return rows.join(gone, same, "left_anti").drop("_own_sha256")

@@ -48,3 +48,9 @@ def test_filter_keeps_columns_and_empty_tables(odd, none):
     assert out.columns == odd.columns
     assert out.count() == e.exact_groups(odd).where("kept").count()
     assert e.exact_groups(none).count() == 0 and e.deduplicated(none).count() == 0
+
+
+def test_filter_tells_rows_with_one_id_apart(spark):
+    rows = [(None, "x"), (None, "y"), (5, "X"), (1, "a"), (2, "a"), (1, "b"), (None, None), (7, ""), (None, "z"), (3, "y z")]
+    out = e.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(None, "y"), (5, "X"), (2, "a"), (1, "b"), (7, ""), (None, "z"), (3, "y z")], key=repr)
