@@ -431,12 +431,13 @@ def j2_balance_weights(v: Iam) -> DataFrame:
 @query()
 def j2_multi_role(v: Iam) -> DataFrame:
     y = factor.multi_role_labels(v.weights)
-    return predict.role_probabilities(predict.train_multi_role(v.users, y, [0, 1], trees=5), v.users)
+    role_ids = [r["role_id"] for r in y.select("role_id").distinct().orderBy("role_id").collect()]
+    return predict.role_probabilities(predict.train_multi_role(v.users, y, role_ids), v.users)
 
 
 @query()
 def j3_mlp(v: Iam) -> DataFrame:
-    model, _ = predict.train_mlp(v.users, v.labels.where("label between 0 and 3").select("user_id", F.col("label").alias("role_id")), layers=(8,), max_iter=10)
+    model, _ = predict.train_mlp(v.users, v.labels.where("label <> -1").select("user_id", F.col("label").alias("role_id")))
     return model.transform(v.users).select("user_id", F.col("prediction").cast("long").alias("predicted"))
 
 

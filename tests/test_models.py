@@ -93,3 +93,33 @@ def test_multi_role(spark):
     assert p.where("(p > 0.5) <> (user_id % 2 = 1)").count() == 0
     w = factor.multi_role_labels(spark.createDataFrame([(1, 0, 0.15), (1, 1, 0.85), (2, 0, 0.0), (2, 1, 0.0)], "user_id long, role_id int, weight double"))
     assert [tuple(r)[:2] for r in w.collect()] == [(1, 1)]
+
+
+def test_predictor_queries_cover_all_roles(spark):
+    from accessmine.plans import models, registry  # noqa: F401
+    from accessmine.plans.iam_view import Iam
+
+    small = "/root/testdata/sf0.001"
+    view = Iam(spark, small)
+    p = registry.QUERIES["j2_multi_role"](spark, small)
+    assert {r.role_id for r in p.select("role_id").distinct().collect()} == set(range(6))
+    assert p.count() == 6 * view.users.count()
+
+
+def test_mlp_query_trains_on_all_cohorts(spark, monkeypatch):
+    from accessmine.plans import models, registry
+    from accessmine.plans.iam_view import Iam
+
+    seen, train = {}, models.predict.train_mlp
+
+    def spy(users, labels, *args, **kwargs):
+        seen["labels"] = {r.role_id for r in labels.select("role_id").distinct().collect()}
+        model, accuracy = train(users, labels, *args, **kwargs)
+        seen["layers"] = model.stages[-1].getLayers()
+        return model, accuracy
+
+    small = "/root/testdata/sf0.001"
+    monkeypatch.setattr(models.predict, "train_mlp", spy)
+    assert registry.QUERIES["j3_mlp"](spark, small).count() == Iam(spark, small).users.count()
+    assert seen["labels"] == {r.label for r in Iam(spark, small).labels.where("label <> -1").select("label").distinct().collect()}
+    assert seen["layers"][1:] == [64, 32, 24]
