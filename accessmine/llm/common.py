@@ -27,12 +27,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    """The cluster's shared folder; one of our own only in local mode, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -46,6 +48,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_ids(docs: DataFrame) -> bool:
+    """Has every row a doc_id, and one of its own? Only the ids are read and shuffled."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null").isEmpty()
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs, stored with a number for each row (the numbers hold, as they are read back)."""
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def lowered(text: Column) -> Column:
     """A-Z lower-cased, nothing else; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

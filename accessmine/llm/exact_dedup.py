@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accessmine.llm.common import lowered, stored, utf8
+from accessmine.llm.common import _LOW, fresh, lowered, numbered, own_ids, stored, utf8
 
 #: Two primes below 2**31: a product of residues fits 64 bits.
 PRIMES = (2147483647, 2147483629)
@@ -47,17 +49,21 @@ def polynomial(data: np.ndarray, base: int, prime: int) -> int:
     return out
 
 
-def _fingerprints(primes: tuple[int, int]):
-    kind = pa.struct([("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def _fingerprints(primes: tuple[int, int], whole: bool):
+    """Fingerprint of a text lower-cased in A-Z, with its SHA-256, or (whole) its bytes."""
 
-    @F.arrow_udf("struct<n:bigint,a:bigint,b:bigint>")
+    @F.arrow_udf("struct<fp:struct<n:bigint,a:bigint,b:bigint>," + ("own:binary>" if whole else "own:string>"))
     def fingerprint(texts: pa.Array) -> pa.Array:
         data, bounds = utf8(texts)
-        spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-        cols = [pa.array(np.diff(bounds), pa.int64())]
-        for base, prime in zip(BASES, primes, strict=True):
-            cols.append(pa.array([polynomial(data[a:b], base, prime) for a, b in spans], pa.int64()))
-        return pa.StructArray.from_arrays(cols, fields=list(kind))
+        spans, own = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), []
+        values: tuple[list[int], list[int]] = ([], [])
+        for a, b in spans:
+            low = _LOW[data[a:b]]
+            for k in (0, 1):
+                values[k].append(polynomial(low, BASES[k], primes[k]))
+            own.append(low.tobytes() if whole else hashlib.sha256(low).hexdigest())
+        fp = pa.StructArray.from_arrays([pa.array(np.diff(bounds), pa.int64()), *(pa.array(v, pa.int64()) for v in values)], names=["n", "a", "b"])
+        return pa.StructArray.from_arrays([fp, pa.array(own, pa.binary() if whole else pa.string())], names=["fp", "own"])
 
     return fingerprint
 
@@ -77,26 +83,50 @@ def _shifts(primes: tuple[int, int]):
     return share
 
 
-def fingerprinted(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUGE) -> DataFrame:
-    """docs with ``_norm`` (the compared text) and ``_fp`` (bytes and two residues).
+def _length() -> Column:
+    return F.length(F.coalesce("text", F.lit("")))
+
+
+def _parts(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+
+
+def _huge(docs: DataFrame, primes: tuple[int, int], huge: int) -> DataFrame:
+    """(doc_id, text, _fp) of the huge texts, lower-cased.
 
-    A text of at least ``huge`` characters is cut, its parts are hashed by as many tasks as
-    there are, and their shifted hashes add up to the whole's.
+    Their parts are hashed by as many tasks as there are, and their shifted hashes add up to the whole's.
     """
-    docs = docs.withColumn("_norm", lowered(F.col("text")))
-    small = docs.where(F.length("_norm") < huge).withColumn("_fp", _fingerprints(primes)("_norm"))
-    large = docs.where(F.length("_norm") >= huge).select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
-    large = large.withColumn("_parts", F.regexp_extract_all("_doc._norm", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)))
-    large = large.withColumn("_sizes", F.transform("_parts", lambda x: F.octet_length(x).cast("long")))
+    rows = docs.where(_length() >= huge).select("doc_id", lowered(F.col("text")).alias("text"))
+    rows = rows.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"), _parts(F.col("text")).alias("_parts"))
+    rows = rows.withColumn("_sizes", F.transform("_parts", lambda x: F.octet_length(x).cast("long")))
     upto = lambda i: F.aggregate(F.slice("_sizes", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x)
-    behind = F.transform("_sizes", lambda x, i: F.octet_length("_doc._norm") - upto(i))
+    behind = F.transform("_sizes", lambda x, i: F.octet_length("_doc.text") - upto(i))
     # the row itself goes along with its first part only
-    parts = large.select("_row", "_doc", F.posexplode(F.arrays_zip(F.col("_parts").alias("part"), behind.alias("behind"))).alias("_at", "_p"))
+    parts = rows.select("_row", "_doc", F.posexplode(F.arrays_zip(F.col("_parts").alias("part"), behind.alias("behind"))).alias("_at", "_p"))
     parts = parts.select("_row", "_at", F.when(F.col("_at") == 0, F.col("_doc")).alias("_doc"), F.col("_p")["part"].alias("_part"), F.col("_p")["behind"].alias("_behind"))
     shares = parts.repartition("_row", "_at").withColumn("_s", _shifts(primes)("_part", "_behind"))
     sums = F.struct(F.sum("_s.n").alias("n"), (F.sum("_s.a") % primes[0]).alias("a"), (F.sum("_s.b") % primes[1]).alias("b"))
-    whole = shares.groupBy("_row").agg(F.first("_doc", ignorenulls=True).alias("_doc"), sums.alias("_fp"))
-    return small.unionByName(whole.select("_doc.*", "_fp"))
+    return shares.groupBy("_row").agg(F.first("_doc", ignorenulls=True).alias("_doc"), sums.alias("_fp")).select("_doc.*", "_fp")
+
+
+def fingerprinted(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUGE) -> DataFrame:
+    """(doc_id, _fp, text_sha256) of docs (doc_id, text), of texts lower-cased in A-Z: bytes and two residues, and SHA-256.
+
+    A text of at least ``huge`` characters is hashed in parts, by many tasks.
+    """
+    small = docs.where(_length() < huge).select("doc_id", _fingerprints(primes, False)("text").alias("_k"))
+    small = small.select("doc_id", F.col("_k.fp").alias("_fp"), F.col("_k.own").alias("text_sha256"))
+    return small.unionByName(_huge(docs, primes, huge).select("doc_id", "_fp", F.sha2("text", 256).alias("text_sha256")))
+
+
+def _chunks(docs: DataFrame, primes: tuple[int, int], huge: int) -> DataFrame:
+    """(doc_id, _fp, _at, _part): the bytes of every compared text, in chunks from number 0."""
+    small = docs.where(_length() < huge).select("doc_id", _fingerprints(primes, True)("text").alias("_k"))
+    ends = F.sequence(F.lit(0), F.floor(F.greatest(F.octet_length("_k.own") - 1, F.lit(0)) / PART).cast("int"))
+    pieces = F.transform(ends, lambda i: F.substring(F.col("_k.own"), i * PART + 1, F.lit(PART)))
+    small = small.select("doc_id", F.col("_k.fp").alias("_fp"), F.posexplode(pieces).alias("_at", "_part"))
+    large = _huge(docs, primes, huge).select("doc_id", "_fp", F.posexplode(_parts(F.col("text"))).alias("_at", "_part"))
+    return small.unionByName(large.withColumn("_part", F.col("_part").cast("binary")))
 
 
 def exact_groups(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUGE) -> DataFrame:
@@ -104,41 +134,41 @@ def exact_groups(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int =
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with
     the largest doc_id of a group stays; a null doc_id is smaller than any other. Rows that
-    repeat a doc_id and its text share one fate. An empty table gives an empty result.
+    repeat a doc_id and its text share one fate. Other columns, whatever their names, are not
+    read; texts may be of any length. An empty table gives an empty result.
 
-    Fingerprints gather the candidates. Equal ones are compared chunk by chunk: in each
-    (fingerprint, chunk number) the smallest and largest chunk must be the same, which
-    partial aggregation settles without ever holding a group in one place. Groups that fail
-    (two texts with one fingerprint) are told apart by their texts.
+    Fingerprints gather the candidates. Equal ones are compared chunk by chunk: for each
+    (fingerprint, chunk number) there must be one chunk only, which partial aggregation
+    settles without ever holding a group in one place. Groups that fail (two texts with one
+    fingerprint) are told apart by the SHA-256 of their texts.
     """
-    marked = fingerprinted(docs.select("doc_id", "text"), primes, huge)
-    rows = stored(marked.select("doc_id", "_fp", F.sha2("_norm", 256).alias("text_sha256")), "exact-rows")
-    chunk = F.explode_outer(F.transform(F.regexp_extract_all("_norm", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), lambda x, i: F.struct(i.alias("at"), x.alias("part"))))
-    compared = (
-        marked.select("_fp", "doc_id", chunk.alias("_c"))
-        .groupBy("_fp", F.coalesce("_c.at", F.lit(0)).alias("_at"))
-        .agg(F.min("_c.part").alias("_low"), F.max("_c.part").alias("_high"), F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    )
-    groups = stored(
-        compared.groupBy("_fp").agg(
-            F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.bool_and(F.col("_low").eqNullSafe(F.col("_high"))).alias("_same")
-        ),
-        "exact-groups",
-    )
+    docs = docs.select("doc_id", "text")
+    rows = stored(fingerprinted(docs, primes, huge), "exact-rows")
+    compared = _chunks(docs, primes, huge).groupBy("_fp", "_at", "_part").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("_n"))
+    begin = F.when(F.col("_at") == 0, F.col("_n"))
+    one = F.count(F.lit(1)) == F.max("_at") + 1
+    groups = stored(compared.groupBy("_fp").agg(F.max("keep_id").alias("keep_id"), F.sum(begin).alias("group_size"), one.alias("_same")), "exact-groups")
     sure = groups.where("_same").drop("_same")
     out = rows.join(sure, "_fp")
     if not groups.where("not _same").isEmpty():
-        unsure = marked.join(groups.where("not _same").select("_fp"), "_fp", "left_semi")
-        texts = unsure.groupBy("_fp", "_norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        texts = texts.select("_fp", F.sha2("_norm", 256).alias("text_sha256"), "keep_id", "group_size")
+        unsure = groups.where("not _same").select("_fp")
+        texts = rows.join(unsure, "_fp", "left_semi").groupBy("_fp", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         out = out.unionByName(rows.join(texts, ["_fp", "text_sha256"]))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without the rows that :func:`exact_groups` drops; columns as they were."""
-    # by id and text, as ids can be null or repeated; the hash is a column so that sorting doesn't work it out again
-    gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha256"))
-    rows = docs.withColumn("_own_sha256", F.sha2(lowered(F.col("text")), 256))
-    same = rows["doc_id"].eqNullSafe(gone["_gone"]) & (rows["_own_sha256"] == gone["_gone_sha256"])
-    return rows.join(gone, same, "left_anti").drop("_own_sha256")
+    """docs with one row of each group of equal texts, of the largest doc_id; columns as they were.
+
+    Where doc_ids are null or repeated, rows go by a number of their own, so that no text
+    goes without a copy that stays, and of rows that repeat an id and a text one stays.
+    """
+    if own_ids(docs):
+        own, rows, order = "doc_id", docs, F.col("doc_id")
+    else:
+        own = fresh(docs, "_row")
+        rows = numbered(docs, own)
+        order = F.struct(F.col("doc_id").alias("id"), F.col(own).alias("row"))
+    gone = exact_groups(rows.select(order.alias("doc_id"), "text")).where("not kept")
+    gone = gone.select((F.col("doc_id") if own == "doc_id" else F.col("doc_id.row")).alias(fresh(docs, "_gone")))
+    return rows.join(gone, rows[own] == gone[gone.columns[0]], "left_anti").select(*[rows[c] for c in docs.columns])
