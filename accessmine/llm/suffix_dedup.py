@@ -234,7 +234,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first
     if not hot.isEmpty():
         found = found.unionByName(_refined(hot, length, gram, keep_first))
     known = strings.select("core", "tid", "c", "rep").join(found, ["core", "tid"], "left")
-    known = known.where("c > 1 or size(found) > 0")
+    # a table of its own, as above: the rows of a string that very many documents share are split among tasks
+    known = stored(known.where("c > 1 or size(found) > 0"), "known")
     own = F.coalesce("found", F.array().cast("array<struct<from:int,to:int>>"))
     everything = F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to")))
     itself = F.struct("_id", "_key", "p") == F.col("rep")

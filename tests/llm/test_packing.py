@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -15,8 +16,23 @@ def test_ids_equal_the_tokenizers():
     t = Tokenizer.from_file(PATH)
     texts = ["Hello, World! it's 2024 — can't  stop", "été İstanbul ΣΑΣ ß", "<|endoftext|> x<|startoftext|>y", "", " \n", "a b c\x1cd", "日本語テキスト mixed 中文", "😀😀 ok", "they'll we've I'm x's's", "naïve-café’s", "Foo, bar. Baz.\nqux,. !, _. x._, ...a, b.", "\x1c", "a\x1f,"]
     ids = packing.WordIds(PATH)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
     for _ in range(2):
-        assert [x.tolist() for x in ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [x.tolist() for x in ids(pa.array(texts))] == want
+    # a slice, and nulls
+    assert [x.tolist() for x in ids(pa.array([None, "É", *texts, None]).slice(2, len(texts) + 1))] == [*want, []]
+    assert ids(pa.array([], pa.string())) == []
+
+
+def test_ids_after_words_are_forgotten(monkeypatch):
+    t = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(packing, "WORDS_KEPT", 60)
+    ids = packing.WordIds(PATH)
+    for k in range(30):
+        texts = [f"the  word{k} and wörd{'x' * k} o{'a' * (k % 7)} Les élè{'ves' * (k % 5)}!! the the", "the and of " * 3]
+        assert [x.tolist() for x in ids(pa.array(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(ids.index) == len(ids.uses) == len(ids.start) - 1
+    assert "the" in ids.index and "and" in ids.index and len(ids.index) < 90
 
 
 @pytest.mark.parametrize("lengths", [[1], [4096], [4097, 1], [100] * 90, [9000, 3000, 3000, 2000, 17, 1, 1], list(range(1, 400))])
