@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from accessmine.llm.common import mixed
+from accessmine.llm.common import fresh, mixed
 
 #: Slots of every language's filter, and slots that one trigram sets.
 SLOTS, PROBES = 1 << 19, 3
@@ -127,11 +127,12 @@ def learned(train: DataFrame) -> Filters:
     place = {x: k for k, x in enumerate(languages)}
     masks = np.zeros((SLOTS, max(1, -(-len(languages) // 63))), np.uint64)
     table = sliced.toArrow()
-    rows = np.repeat(table["slot"].to_numpy(), table["langs"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)) if table.num_rows else np.zeros(0, np.int64)
-    owners = table["langs"].combine_chunks().flatten().to_pylist() if table.num_rows else []
-    for k, name in enumerate(languages):
-        own = rows[np.array([place[x] == k for x in owners], bool)] if owners else rows
-        masks[own, k // 63] |= np.uint64(1) << np.uint64(k % 63)
+    if table.num_rows:
+        lists = table["langs"].combine_chunks()
+        rows = np.repeat(table["slot"].to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False))
+        owners = lists.flatten().dictionary_encode()
+        bits = np.array([place[x] for x in owners.dictionary.to_pylist()])[owners.indices.to_numpy()]
+        np.bitwise_or.at(masks, (rows, bits // 63), np.uint64(1) << (bits % 63).astype(np.uint64))
     return Filters(languages, masks, np.array([sizes[x] for x in languages] or [0]))
 
 
@@ -145,12 +146,16 @@ def _slot_columns():
     return [s.getItem(k) for k in range(PROBES)]
 
 
-def identified(docs: DataFrame, filters: Filters) -> DataFrame:
+def identified(docs: DataFrame, filters: Filters, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs (text and any other columns) with ``lang_pred`` and ``score``.
 
     ``und`` where the text is null or has no letter. A text none of whose trigrams is
     known gets the language with most training text and score 0; ties go to the first
-    language by name. Without any learned language everything is ``und``.
+    language by name. Without any learned language everything is ``und``. Each row is
+    judged by its whole text alone, so repeated rows get the same answer, and a very long
+    text is a step of its own. Columns of docs named as the two new ones give way to them
+    (name the new ones otherwise to keep both); any other name is free. An empty table
+    stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
@@ -164,5 +169,5 @@ def identified(docs: DataFrame, filters: Filters) -> DataFrame:
             scores += b
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
-    found = docs.select("*", decide("text").alias("_found"))
-    return found.withColumn("lang_pred", F.col("_found.lang")).withColumn("score", F.col("_found.score")).drop("_found")
+    others, found = docs.drop(lang, score), fresh(docs, "_found")
+    return others.withColumn(found, decide("text")).select(*(f"`{c}`" for c in others.columns), F.col(f"{found}.lang").alias(lang), F.col(f"{found}.score").alias(score))
