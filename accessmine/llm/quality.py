@@ -77,10 +77,18 @@ def upper_bound(k: int, n: int, error: float) -> float:
         return 1.0
 
     def tail(p: float) -> float:
-        """Chance of k or fewer."""
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 2000), k + 1)]
-        top = max(logs)
-        return math.exp(top) * math.fsum(math.exp(x - top) for x in logs)
+        """Chance of k or fewer, from k down; what is left out is bounded by a geometric series and added."""
+        first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+        term = total = 1.0
+        for i in range(k, 0, -1):
+            ratio = i / (n - i + 1) * (1 - p) / p  # below 1, as p is over k / n, and ever smaller
+            rest = term * ratio / (1 - ratio) if ratio < 1 else math.inf
+            if rest < 1e-12 * total:
+                total += rest
+                break
+            term *= ratio
+            total += term
+        return math.exp(first) * total
 
     low, high = k / n, 1.0
     for _ in range(50):
@@ -93,21 +101,23 @@ def cutoffs(judged: DataFrame, allowed: float = FALSE_REJECTION, error: float =
     """For (stratum, signal) the strictest cutoff that wrongly rejects few enough good texts.
 
     judged: measured documents with ``quality`` (1 good), the labelled holdout. Each
-    stratum's allowance is shared out among the signals; the error over all strata,
-    signals and cutoffs tried (Bonferroni). Where no cutoff can be vouched for, none is
-    used. What reaches the driver is a count for each stratum, signal and cutoff.
+    stratum's allowance is shared out among the signals, the error among all strata and
+    signals (Bonferroni). Within one, cutoffs are tested in a fixed sequence from mild to
+    strict up to the first that can't be vouched for, which needs no further correction.
+    Where none can, none is used. What reaches the driver is a count for each stratum,
+    signal and cutoff.
     """
     good = judged.where((F.col("quality") == 1) & ~F.col("_base_failed"))
     over = [F.sum((F.col(f"_signals.{s}") > c).cast("long")).alias(f"{s}:{i}") for s in SIGNALS for i, c in enumerate(CUTOFFS)]
     rows = good.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n"), *over).collect()
-    tests = (len(STRATA) + 1) * len(SIGNALS) * len(CUTOFFS)
+    families = (len(STRATA) + 1) * len(SIGNALS)
     found = {}
     for row in rows:
         for s in SIGNALS:
-            for i, c in enumerate(CUTOFFS):
-                if upper_bound(row[f"{s}:{i}"], row["n"], error / tests) <= allowed / len(SIGNALS):
-                    found[row["_stratum"], s] = c
+            for i in reversed(range(len(CUTOFFS))):
+                if upper_bound(row[f"{s}:{i}"], row["n"], error / families) > allowed / len(SIGNALS):
                     break
+                found[row["_stratum"], s] = CUTOFFS[i]
     return found
 
 
@@ -130,7 +140,7 @@ def judged(docs: DataFrame, labels: DataFrame, allowed: float = FALSE_REJECTION,
 
     A null or empty text has no words and fails the base rules. Repeated rows get the same
     verdict. Without labels only the base rules hold. An empty table stays empty. Columns
-    of docs other than doc_id and text are not read.
+    of docs other than doc_id and text are not read, so their names can't clash.
     """
     marked = with_measures(docs.select("doc_id", "text"))
     return marked.withColumn("kept", verdict(cutoffs(holdout(marked, labels), allowed, error)))

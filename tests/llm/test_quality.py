@@ -1,6 +1,6 @@
 import random
 from collections import Counter
-from math import comb
+from math import comb, exp, fsum, lgamma, log, log1p
 
 from accessmine.llm import quality as q
 
@@ -30,6 +30,41 @@ def test_exact_bounds():
     assert q.upper_bound(0, 0, 0.05) == 1.0
 
 
+def test_bounds_of_large_counts():
+    for k, n, e in ((2500, 4000, 0.01), (50_000, 60_000, 0.003), (9, 3_000_000, 0.003)):
+        p = q.upper_bound(k, n, e)
+        term, total = 1.0, []
+        first = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p)
+        for i in range(k, -1, -1):
+            total.append(term)
+            term *= i / (n - i + 1) * (1 - p) / p
+        assert abs(exp(first) * fsum(total) / e - 1) < 1e-4
+
+
+def test_cutoffs_against_plain_python(spark):
+    r = random.Random(8)
+    docs, marks = [], []
+    for i in range(1500):
+        w = [f"w{r.randint(0, 9999)}" + "#" * (r.random() < 0.02) for _ in range(r.choice([30, 60]))]
+        docs.append((i, " ".join(w + w[: r.choice([0, 0, 0, 6])])))
+        marks.append((i, int(r.random() < 0.9)))
+    measured = q.with_measures(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = q.cutoffs(q.holdout(measured, spark.createDataFrame(marks, "doc_id long, quality int")))
+    want, good = {}, {}
+    for (_, text), (_, label) in zip(docs, marks, strict=True):
+        n, chars, sym, lines, dup, rep, distinct = brute(text)
+        if label and n >= 10 and 100 * rep <= 20 * n:
+            signals = (sym / chars, rep / n, dup / lines, (n - distinct) / n)
+            good.setdefault(sum(n >= x for x in q.STRATA), []).append(signals)
+    for stratum, rows in good.items():
+        for j, name in enumerate(q.SIGNALS):
+            for c in sorted(q.CUTOFFS, reverse=True):
+                if q.upper_bound(sum(x[j] > c for x in rows), len(rows), q.ERROR / 16) > q.FALSE_REJECTION / 4:
+                    break
+                want[stratum, name] = c
+    assert got == want and len(want) >= 4
+
+
 def test_report(spark, odd, none):
     labels = odd.selectExpr("doc_id", "cast(doc_id % 2 as int) quality", "0 toxic").where("doc_id is not null").distinct()
     rows = {(r.doc_id, r.n_words): r for r in q.quality_report(odd, labels).collect()}
