@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,14 @@ BROADCAST_ROWS = 200_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed to the shared folder (one of our own where none is set)."""
-    context = df.sparkSession.sparkContext
+    """df, checkpointed to the shared folder; one of our own only in local mode, where none is set."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()
 
 
@@ -24,6 +30,11 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def vector_sum(array: str) -> Column:
+    """The element-wise sum of arrays of doubles, as a vector, combined before it is shuffled."""
+    return Summarizer.sum(array_to_vector(array))
+
+
 def jaccard(both: Column, a: Column, b: Column) -> Column:
     """From sizes of the intersection and of both sets; two empty sets are alike."""
     return F.when(a + b == 0, 1.0).otherwise(both / (a + b - both))

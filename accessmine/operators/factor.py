@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from accessmine.functions.common import cut, ratio, small
+from accessmine.functions.common import cut, ratio, small, vector_sum
 from accessmine.operators.catalog import dense_index
 
 
@@ -63,10 +63,13 @@ def nmf(up: DataFrame, k: int, max_iter: int = 60, tol: float = 1e-4, seed: int
             yield pd.DataFrame({"r": np.arange(k), "top": list(top), "bottom": list(bottom), "err": err})
 
         sums = rows.mapInPandas(partial, "r int, top array<double>, bottom array<double>, err double")
-        summed = sums.groupBy("r").agg(*[F.collect_list(c).alias(c) for c in ("top", "bottom")], F.sum("err").alias("err"))
+        # added up on executors: one row for each role comes back, whatever the number of partitions
+        summed = sums.groupBy("r").agg(*[vector_sum(c).alias(c) for c in ("top", "bottom")], F.sum("err").alias("err"))
         got = {r["r"]: r for r in summed.collect()}
-        top = np.array([np.sum(got[r]["top"], axis=0) for r in range(k)])
-        bottom = np.array([np.sum(got[r]["bottom"], axis=0) for r in range(k)])
+        if not got:
+            break
+        top = np.array([got[r]["top"].toArray() for r in range(k)])
+        bottom = np.array([got[r]["bottom"].toArray() for r in range(k)])
         errors.append(float(np.sqrt(got[0]["err"])))
         h = h * top / np.maximum(bottom + l1 + l2 * h if loss == "kl" else bottom @ h + l1 + l2 * h, eps)
         shared.unpersist()

@@ -13,7 +13,9 @@ ATTRIBUTES = ("position", "department", "location", "contract_type", "seniority"
 def multi_hot(lists: DataFrame, out: str = "labels"):
     """Model and frame with a sparse 0/1 vector over the permissions that occur."""
     words = lists.withColumn("_words", F.transform("permissions", lambda p: p.cast("string")))
-    model = CountVectorizer(inputCol="_words", outputCol=out, binary=True).fit(words)
+    # a place for every permission: the default keeps the 262,144 most frequent ones
+    n = max(1, words.select(F.explode("_words").alias("w")).agg(F.countDistinct("w")).first()[0])
+    model = CountVectorizer(vocabSize=n, inputCol="_words", outputCol=out, binary=True).fit(words)
     return model, model.transform(words).drop("_words")
 
 

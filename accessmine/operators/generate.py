@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accessmine.functions.common import hash_uniform
+from accessmine.functions.common import hash_uniform, small
 
 #: Locations, contract types and seniority levels with their shares.
 LOCATIONS = ("Paris", "Lyon", "Nantes", "Lille", "Bordeaux", "Toulouse", "Marseille", "Rennes", "Strasbourg")
@@ -77,7 +77,7 @@ def badge_rights(users: DataFrame, perms: DataFrame, apps: DataFrame) -> DataFra
 
 def base_rights(users: DataFrame, rules: DataFrame, group_of: DataFrame) -> DataFrame:
     """Each user's group rights; group_of: (position, group)."""
-    return users.join(F.broadcast(group_of), "position").join(F.broadcast(rules), "group").select("user_id", "application_id", "permission_id")
+    return users.join(small(group_of), "position").join(small(rules), "group").select("user_id", "application_id", "permission_id")
 
 
 def provision_rights(users: DataFrame, rules: DataFrame, perms: DataFrame, apps: DataFrame, seed: int = 42) -> DataFrame:
@@ -86,12 +86,12 @@ def provision_rights(users: DataFrame, rules: DataFrame, perms: DataFrame, apps:
     group_of = spark.createDataFrame([(p, g) for g, (ps, _, _) in GROUPS.items() for p in ps], "position string, group string")
     base = base_rights(users, rules, group_of).where(hash_uniform(seed, F.col("user_id"), F.col("permission_id")) >= 0.02)
     count = perms.count()
-    ranked = F.broadcast(perms.withColumn("i", F.row_number().over(Window.orderBy("permission_id")) - 1))
+    ranked = small(perms.withColumn("i", F.row_number().over(Window.orderBy("permission_id")) - 1))
     extra = users.where(hash_uniform(seed + 1, F.col("user_id")) < 0.03).withColumn("k", F.explode(F.sequence(F.lit(1), (1 + F.floor(hash_uniform(seed + 2, F.col("user_id")) * 3)).cast("int"))))
     extra = extra.withColumn("i", F.floor(hash_uniform(seed + 3, F.col("user_id"), F.col("k")) * count).cast("int")).join(ranked, "i").select("user_id", "application_id", "permission_id")
     collab = perms.join(apps.where("category = 'COLLAB'").select("application_id"), "application_id", "left_semi")
     m = collab.count()
-    collab = F.broadcast(collab.withColumn("i", F.row_number().over(Window.orderBy("permission_id")) - 1))
+    collab = small(collab.withColumn("i", F.row_number().over(Window.orderBy("permission_id")) - 1))
     drawn = users.withColumn("k", F.explode(F.sequence(F.lit(1), (2 + F.floor(hash_uniform(seed + 4, F.col("user_id")) * 2)).cast("int"))))
     drawn = drawn.withColumn("i", F.floor(hash_uniform(seed + 5, F.col("user_id"), F.col("k")) * m).cast("int")).join(collab, "i").select("user_id", "application_id", "permission_id")
     return base.unionByName(extra).unionByName(drawn).unionByName(badge_rights(users, perms, apps)).distinct()

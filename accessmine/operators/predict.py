@@ -13,8 +13,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from accessmine.functions.common import small
 from accessmine.operators.features import ATTRIBUTES, encoder, train_test_split
 
+#: Permission models up to which they are sent to every task; each is a map of attribute values.
+MODELS_SENT = 20_000
+
 
 def train_role_classifier(users: DataFrame, labels: DataFrame, trees: int = 100, columns: tuple[str, ...] = ATTRIBUTES, seed: int = 42) -> tuple[PipelineModel, float, DataFrame]:
     """(model, accuracy, predictions of the test users) of a forest on encoded attributes; labels (user_id, role_id)."""
@@ -114,13 +118,13 @@ def predict_permissions(models: DataFrame, users: DataFrame, columns: tuple[str,
     """(user_id, permission_id, p, granted)."""
     rows = users.select("user_id", F.array(*[F.concat(F.lit(f"{c}="), F.col(c)) for c in columns]).alias("profile"))
     score = F.aggregate("profile", F.element_at("weights", F.lit("")), lambda s, v: s + F.coalesce(F.element_at("weights", v), F.lit(0.0)))
-    out = rows.crossJoin(F.broadcast(models)).withColumn("p", 1 / (1 + F.exp(-score)))
+    out = rows.crossJoin(small(models, MODELS_SENT)).withColumn("p", 1 / (1 + F.exp(-score)))
     return out.select("user_id", "permission_id", "p", (F.col("p") > grant).alias("granted"))
 
 
 def recommend_roles(probabilities: DataFrame, names: DataFrame, threshold: float = 0.25) -> DataFrame:
     """(user_id, role_id, p, title) of roles with p at least the threshold."""
-    out = probabilities.where(F.col("p") >= threshold).join(F.broadcast(names), "role_id", "left")
+    out = probabilities.where(F.col("p") >= threshold).join(small(names), "role_id", "left")
     title = F.concat(F.lit("["), F.col("role_id").cast("string"), F.lit("] "), F.coalesce("name", F.lit("not named")))
     return out.select("user_id", "role_id", "p", title.alias("title"))
 
@@ -129,7 +133,7 @@ def location_badge_rule(users: DataFrame, apps: DataFrame, perms: DataFrame) ->
     """(user_id, application_id, permission_id): the badge right of each user's location."""
     named = users.select("user_id", F.concat(F.lit("Access Badge System - "), "location").alias("app_name"))
     badge = perms.where("perm_name = 'access_building'").join(apps, "application_id").select("app_name", "application_id", "permission_id")
-    return named.join(F.broadcast(badge), "app_name").select("user_id", "application_id", "permission_id")
+    return named.join(small(badge), "app_name").select("user_id", "application_id", "permission_id")
 
 
 def route_by_confidence(pred: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from accessmine.functions.common import small
 from accessmine.operators import catalog, features, quality, stats
 from accessmine.plans.iam_view import Iam
 from accessmine.plans.registry import query
@@ -66,7 +67,7 @@ def b1_catalogs(v: Iam) -> DataFrame:
 @query("SELECT permission_id, count(*) AS n FROM rights WHERE permission_id IN (SELECT permission_id FROM permissions WHERE application_id NOT IN (SELECT application_id FROM applications WHERE category = 'FACILITIES')) GROUP BY permission_id")
 def b2_exclude_category(v: Iam) -> DataFrame:
     keep = catalog.exclude_category(v.permissions, v.applications, "FACILITIES")
-    return v.rights.join(F.broadcast(keep.select("permission_id")), "permission_id", "left_semi").groupBy("permission_id").agg(F.count(F.lit(1)).alias("n"))
+    return v.rights.join(small(keep.select("permission_id")), "permission_id", "left_semi").groupBy("permission_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(BAD + " SELECT DISTINCT user_id, permission_id FROM bad WHERE user_id IN (SELECT user_id FROM users) AND permission_id IN (SELECT permission_id FROM permissions)")
@@ -112,6 +113,16 @@ def b8_permission_lists(v: Iam) -> DataFrame:
     return lists.select("user_id", F.array_join("permissions", ",").alias("permissions"))
 
 
+@query("SELECT u.user_id, permission_id, count(permission_id) AS value FROM users u LEFT JOIN rights r ON u.user_id = r.user_id GROUP BY u.user_id, permission_id")
+def b7_aligned_matrix_whole(v: Iam) -> DataFrame:
+    return catalog.aligned_matrix(v.rights, v.users)
+
+
+@query("SELECT u.user_id, coalesce(string_agg(CAST(permission_id AS VARCHAR), ',' ORDER BY permission_id), '') AS permissions FROM users u LEFT JOIN up r ON u.user_id = r.user_id GROUP BY u.user_id")
+def b8_permission_lists_whole(v: Iam) -> DataFrame:
+    return catalog.permission_lists(v.rights, v.users).select("user_id", F.array_join("permissions", ",").alias("permissions"))
+
+
 @query("SELECT u.user_id, count(permission_id) AS n FROM users u LEFT JOIN up ON u.user_id = up.user_id GROUP BY u.user_id")
 def b9_multi_hot(v: Iam) -> DataFrame:
     from pyspark.ml.functions import vector_to_array

@@ -123,3 +123,30 @@ def test_mlp_query_trains_on_all_cohorts(spark, monkeypatch):
     assert registry.QUERIES["j3_mlp"](spark, small).count() == Iam(spark, small).users.count()
     assert seen["labels"] == {r.label for r in Iam(spark, small).labels.where("label <> -1").select("label").distinct().collect()}
     assert seen["layers"][1:] == [64, 32, 24]
+
+
+def test_nearest_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (90, 5)).astype(float)
+    points = spark.createDataFrame([(i * 7, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    got = {}
+    for r in clustering.nearest(points, 4, block=20).collect():
+        got.setdefault(r.a, set()).add(r.b)
+    for i in range(90):
+        order = sorted((((x[i] - x[j]) ** 2).sum(), j * 7) for j in range(90) if j != i)
+        assert got[i * 7] == {j for _, j in order[:4]}
+
+
+def test_no_permission_in_use(spark):
+    none, users = spark.createDataFrame([], "user_id long, permission_id long"), spark.createDataFrame([(1,), (2,)], "user_id long")
+    assert [r.embedding for r in clustering.vectors(none, users).collect()] == [[], []]
+    assert [r.embedding for r in graph.svd_embeddings(none, users)[0].collect()] == [[], []]
+
+
+def test_reduced_against_numpy(spark):
+    x = np.random.default_rng(6).random((50, 6))
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>").repartition(5)
+    out, share = graph.reduced(points, 3)
+    got = np.array([r.embedding for r in out.orderBy("id").collect()])
+    s = np.linalg.svd(x, compute_uv=False)
+    assert np.allclose(np.sort(np.linalg.norm(got, axis=0))[::-1], s[:3]) and abs(share - (s[:3] ** 2).sum() / (s**2).sum()) < 1e-9
