@@ -62,7 +62,7 @@ def silhouette_points(points: DataFrame, labels: DataFrame) -> DataFrame:
     same = F.col("label") == F.col("own")
     per = sums.groupBy("id").agg(
         F.max(F.when(same, F.col("n"))).alias("size"),
-        F.max(F.when(same, F.col("total") / (F.col("n") - 1))).alias("a"),
+        F.max(F.when(same & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
         F.min(F.when(~same, F.col("total") / F.col("n"))).alias("b"),
     )
     s = F.when((F.col("size") > 1) & F.col("b").isNotNull(), ratio(F.col("b") - F.col("a"), F.greatest("a", "b"))).otherwise(0.0)
@@ -80,7 +80,7 @@ def davies_bouldin(points: DataFrame, labels: DataFrame) -> DataFrame:
     rows, c = _with_centroid(points, labels)
     s = rows.groupBy("label").agg(F.avg("d").alias("s")).join(c, "label")
     x, y = s.select(F.col("label").alias("i"), F.col("s").alias("si"), F.col("centroid").alias("ci")), s.select(F.col("label").alias("j"), F.col("s").alias("sj"), F.col("centroid").alias("cj"))
-    r = x.join(y, F.col("i") != F.col("j")).withColumn("r", (F.col("si") + F.col("sj")) / distance(F.col("ci"), F.col("cj")))
+    r = x.join(y, F.col("i") != F.col("j")).withColumn("r", ratio(F.col("si") + F.col("sj"), distance(F.col("ci"), F.col("cj"))))
     out = r.groupBy("i").agg(F.max("r").alias("r")).agg(F.avg("r").alias("x"))
     return out.select(F.coalesce("x", F.lit(float("inf"))).alias("davies_bouldin"))
 

@@ -145,3 +145,24 @@ def apply_feedback(train: DataFrame, feedback: DataFrame, key: str = "user_id",
     fixed = feedback.select(key, F.col("corrected_role").alias("role_id"), F.lit(repeats).cast("long").alias("weight"))
     kept = train.join(feedback.select(key), key, "left_anti").select(key, "role_id", F.lit(1).cast("long").alias("weight"))
     return kept.unionByName(fixed)
+
+
+def refit_with_feedback(users: DataFrame, train: DataFrame, feedback: DataFrame, previous: PipelineModel | None = None, repeats: int = 5, columns: tuple[str, ...] = ATTRIBUTES, **options) -> tuple[PipelineModel, float, DataFrame]:
+    """(model, accuracy on test users, scores): the perceptron fitted again with the corrections.
+
+    A row of weight w counts as w rows. With ``previous`` of the same shape (attribute
+    values, layers, classes) training starts from its weights, else anew. scores has
+    (user_id, role_id, confidence) for every user, role_id the likeliest role.
+    """
+    labels = apply_feedback(train, feedback, repeats=repeats)
+    labels = labels.select("user_id", "role_id", F.explode(F.array_repeat(F.lit(1), F.col("weight").cast("int")))).drop("col")
+    initial = None
+    if previous is not None:
+        width = encoder(columns).fit(users).transform(users.limit(1)).first()["features"].size
+        classes = max(2, int(labels.agg(F.max("role_id")).first()[0]) + 1)
+        net = previous.stages[-1]
+        if list(net.getLayers()) == [width, *options.get("layers", (64, 32)), classes]:
+            initial = net.weights
+    model, accuracy = train_mlp(users, labels, columns=columns, initial=initial, **options)
+    scores = model.transform(users).select("user_id", F.col("prediction").cast("long").alias("role_id"), F.array_max(vector_to_array("probability")).alias("confidence"))
+    return model, accuracy, scores

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accessmine.functions.common import cut, distance, dot, small
-from accessmine.operators.metrics import centroids, distance_sums
+from accessmine.operators.clustering import kmeans
+from accessmine.operators.metrics import centroids, davies_bouldin, distance_sums, silhouette
 
 
 def cluster_quality(points: DataFrame, labels: DataFrame) -> DataFrame:
@@ -72,3 +73,12 @@ def combined_score(sweep: DataFrame) -> DataFrame:
     s = sweep.withColumn("score", 100 * F.col("silhouette") - 10 * db)
     top = s.agg(F.max(F.struct("score", (-F.col("k")).alias("m"))).alias("t"))
     return s.crossJoin(top).withColumn("best", -F.col("t.m") == F.col("k")).drop("t")
+
+
+def tune_embedding_k(points: DataFrame, grouping: int, n_init: int = 10) -> DataFrame:
+    """combined_score of K-means for every k of tuning_ks; no row if the users allow no k."""
+    rows = []
+    for k in tuning_ks(points.count(), grouping):
+        labels = kmeans(points, k, n_init=n_init)[0]
+        rows.append((k, float(silhouette(points, labels).first()[0]), float(davies_bouldin(points, labels).first()[0])))
+    return combined_score(points.sparkSession.createDataFrame(rows, "k long, silhouette double, davies_bouldin double"))

@@ -63,10 +63,17 @@ def attribute_distributions(users: DataFrame, columns: tuple[str, ...] = ATTRIBU
     return counts.withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "value")).cast("long"))
 
 
-def sampled_similarity(up: DataFrame, sample: int = 1000, first: int = 500, pairs_per_user: int = 20) -> DataFrame:
-    """Jaccard of the first users with the next ones in order of id, among the users with the lowest ids."""
-    sets = up.groupBy("user_id").agg(F.collect_set("permission_id").alias("p"))
-    top = sets.orderBy("user_id").limit(sample).withColumn("i", F.row_number().over(Window.orderBy("user_id")))
+def sampled_similarity(up: DataFrame, sample: int = 1000, first: int = 500, pairs_per_user: int = 20, seed: int | None = None) -> DataFrame:
+    """Jaccard of the first users with the next ones in the sample's order.
+
+    With a seed the sample and its order go by a hash of the id, so that ids which follow
+    hiring dates or departments don't matter; without one, by the id itself. Sets are built
+    for the users drawn alone.
+    """
+    order = [] if seed is None else [F.md5(F.concat(F.lit(f"{seed}-"), F.col("user_id").cast("string")))]
+    drawn = up.select("user_id").distinct().orderBy(*order, "user_id").limit(sample)
+    drawn = drawn.withColumn("i", F.row_number().over(Window.orderBy(*order, "user_id")).cast("long"))
+    top = up.join(F.broadcast(drawn), "user_id").groupBy("user_id", "i").agg(F.collect_set("permission_id").alias("p"))
     a, b = top.select(F.col("i").alias("ia"), F.col("p").alias("pa")), top.select(F.col("i").alias("ib"), F.col("p").alias("pb"))
     near = a.where(F.col("ia") <= first).withColumn("ib", F.explode(F.sequence(F.col("ia") + 1, F.col("ia") + pairs_per_user - 1))).join(b, "ib")
     both = F.size(F.array_intersect("pa", "pb"))
@@ -116,7 +123,7 @@ def statistical_summary(users: DataFrame, apps: DataFrame, perms: DataFrame, rig
         named(matrix_metrics(basic), "matrix_"),
         named(perms_per_user_stats(rights), "perms_per_user_"),
         named(users_per_perm_stats(rights, perms), "users_per_perm_"),
-        named(sampled_similarity(up), "similarity_"),
+        named(sampled_similarity(up, seed=42), "similarity_"),
         entropy_metrics(rights),
         gini(counts),
         named(application_stats(rights, perms, apps), "app_"),

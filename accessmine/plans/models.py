@@ -255,8 +255,8 @@ def f4_choose_k(v: Iam) -> DataFrame:
 
 @query("SELECT greatest(2, count(*) // 9) AS k, greatest(5, count(*) // 100) AS k_embeddings FROM users")
 def f5_default_k(v: Iam) -> DataFrame:
-    n = v.users.agg(F.count(F.lit(1)).alias("n"))
-    return n.select(F.greatest(F.lit(2), F.floor(F.col("n") / 9)).alias("k"), F.greatest(F.lit(5), F.floor(F.col("n") / 100)).alias("k_embeddings"))
+    n = v.users.count()
+    return v.spark.createDataFrame([(clustering.default_k(n, 3), clustering.default_k(n, 3, embeddings=True))], "k long, k_embeddings long")
 
 
 @query()
@@ -269,6 +269,11 @@ def f8_spectral(v: Iam) -> DataFrame:
     return clustering.spectral(v.points, 10)
 
 
+@query()
+def f9_cluster_auto(v: Iam) -> DataFrame:
+    return clustering.cluster_auto(v.points, 10)
+
+
 @query(", d AS (SELECT a.label, sum(list_distance(a.e, b.e)) AS t, count(*) AS m FROM points a JOIN points b ON a.label = b.label AND a.id <> b.id GROUP BY a.label) SELECT CAST(label AS BIGINT) AS label, round(1 / (1 + t / m), 6) AS quality FROM d")
 def f10_cluster_quality(v: Iam) -> DataFrame:
     return refine.cluster_quality(v.points, v.point_labels)
@@ -285,6 +290,11 @@ def f12_similar_clusters(v: Iam) -> DataFrame:
     return refine.similar_clusters(v.points, v.point_labels, 0.0)
 
 
+@query()
+def f12_merge_clusters(v: Iam) -> DataFrame:
+    return refine.merge_similar_clusters(v.points, v.point_labels, 0.0)
+
+
 @query()
 def f13_refine(v: Iam) -> DataFrame:
     return refine.refine(v.points, v.point_labels, iterations=2, least=0.4)
@@ -296,6 +306,11 @@ def f14_combined_score(v: Iam) -> DataFrame:
     return refine.combined_score(s)
 
 
+@query()
+def f14_tune_embedding_k(v: Iam) -> DataFrame:
+    return refine.tune_embedding_k(v.points, 25, n_init=1)
+
+
 # ---- factors ----
 
 
@@ -357,8 +372,7 @@ def g10_reconstruction(v: Iam) -> DataFrame:
 
 @query()
 def g9_tune_components(v: Iam) -> DataFrame:
-    few = v.up.where("user_id < 300")
-    return factor.tune_components(v.app_rights, most=3, max_iter=3)[0] if few.limit(1).count() else few
+    return factor.tune_components(v.app_rights, most=3, max_iter=3)[0]
 
 
 # ---- graph and embeddings ----
@@ -477,6 +491,16 @@ def j8_feedback(v: Iam) -> DataFrame:
     return predict.apply_feedback(train, train.where("user_id % 10 = 0").select("user_id", ((F.col("role_id") + 1) % 5).alias("corrected_role")))
 
 
+@query()
+def j8_refit(v: Iam) -> DataFrame:
+    """The predictor fitted again after reviewers moved the largest cohort's users to the next one."""
+    train = v.labels.where("label <> -1").select("user_id", F.col("label").alias("role_id"))
+    most = train.groupBy("role_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", "role_id"))["role_id"].alias("role_id"))
+    feedback = train.join(F.broadcast(most), "role_id").select("user_id", ((F.col("role_id") + 1) % 5).alias("corrected_role"))
+    before, _ = predict.train_mlp(v.users, train)
+    return predict.refit_with_feedback(v.users, train, feedback, before)[2]
+
+
 _Y = _P + ", t AS (SELECT user_id, role_id FROM w WHERE weight > 0.5), g AS (SELECT user_id, role_id FROM pr WHERE p > 0.5), c AS (SELECT coalesce(t.role_id, g.role_id) AS label, count(*) FILTER (t.role_id IS NOT NULL AND g.role_id IS NOT NULL) AS tp, count(*) FILTER (t.role_id IS NULL) AS fp, count(*) FILTER (g.role_id IS NULL) AS fn FROM t FULL JOIN g ON t.user_id = g.user_id AND t.role_id = g.role_id GROUP BY 1)"
 
 

@@ -57,6 +57,25 @@ def a6_to_wide(v: Iam) -> DataFrame:
     return io.to_wide(v.up.where(F.col("permission_id").isin(_COLS)), v.users, _COLS)
 
 
+def _all_columns(v: Iam) -> list[int]:
+    """Every permission in order; to_wide itself refuses more columns than a wide matrix may have."""
+    return [r[0] for r in v.permissions.select("permission_id").distinct().orderBy("permission_id").limit(io.WIDE_MOST + 1).collect()]
+
+
+@query("SELECT 'User_' || user_id AS \"user\", 'p_' || permission_id AS permission FROM up JOIN users USING (user_id) JOIN permissions USING (permission_id)")
+def a3_from_wide_whole(v: Iam) -> DataFrame:
+    return io.from_wide(io.to_wide(v.up, v.users, _all_columns(v)))
+
+
+@query("SELECT u.user_id, (SELECT count(*) FROM permissions) AS columns, count(p.permission_id) AS ones, coalesce(string_agg('p_' || p.permission_id, ',' ORDER BY p.permission_id), '') AS held FROM users u LEFT JOIN up ON u.user_id = up.user_id LEFT JOIN permissions p ON p.permission_id = up.permission_id GROUP BY u.user_id")
+def a6_to_wide_whole(v: Iam) -> DataFrame:
+    """The wide matrix over all permissions, each row told by its columns that are 1."""
+    wide = io.to_wide(v.up, v.users, _all_columns(v))
+    names = wide.columns[1:]
+    held = F.filter(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in names]), lambda c: c.isNotNull())
+    return wide.select("user_id", F.lit(len(names)).cast("long").alias("columns"), F.size(held).cast("long").alias("ones"), F.array_join(held, ",").alias("held"))
+
+
 @query("SELECT 'user' AS kind, user_id AS id, department || '/' || position || '/' || location AS what FROM users UNION ALL SELECT 'perm', permission_id, perm_name || '/' || application_id FROM permissions UNION ALL SELECT 'app', application_id, app_name || '/' || category FROM applications")
 def b1_catalogs(v: Iam) -> DataFrame:
     u, p, a = catalog.catalogs(v.users, v.applications, v.permissions)
@@ -193,6 +212,14 @@ def c7_sampled_similarity(v: Iam) -> DataFrame:
     return stats.sampled_similarity(v.up)
 
 
+@query("""
+, t AS (SELECT user_id, list(permission_id) AS p, row_number() OVER (ORDER BY md5('42-' || user_id), user_id) AS i FROM up GROUP BY user_id ORDER BY md5('42-' || user_id), user_id LIMIT 1000),
+s AS (SELECT len(list_intersect(a.p, b.p)) / len(list_distinct(a.p || b.p))::DOUBLE AS n FROM t a JOIN t b ON b.i BETWEEN a.i + 1 AND a.i + 19 WHERE a.i <= 500)
+SELECT round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, round(stddev_pop(n), 6) AS std, round(min(n), 6) AS min, round(max(n), 6) AS max, round(quantile_cont(n, 0.25), 6) AS q1, round(quantile_cont(n, 0.75), 6) AS q3, count(*) AS pairs FROM s""")
+def c7_sampled_similarity_hashed(v: Iam) -> DataFrame:
+    return stats.sampled_similarity(v.up, seed=42)
+
+
 @query(", c AS (SELECT count(*) AS n FROM rights GROUP BY permission_id), t AS (SELECT sum(n) AS t, count(*) AS k FROM c), e AS (SELECT -sum(n / t::DOUBLE * log2(n / t::DOUBLE + 1e-10)) AS e, log2(any_value(k)) AS m FROM c, t) SELECT round(e, 6) AS entropy, round(m, 6) AS max_entropy, round(e / m, 6) AS normalized_entropy FROM e")
 def c8_entropy(v: Iam) -> DataFrame:
     return stats.entropy_metrics(v.rights)

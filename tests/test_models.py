@@ -150,3 +150,52 @@ def test_reduced_against_numpy(spark):
     got = np.array([r.embedding for r in out.orderBy("id").collect()])
     s = np.linalg.svd(x, compute_uv=False)
     assert np.allclose(np.sort(np.linalg.norm(got, axis=0))[::-1], s[:3]) and abs(share - (s[:3] ** 2).sum() / (s**2).sum()) < 1e-9
+
+
+def test_tune_embedding_k(spark):
+    rng = np.random.default_rng(2)
+    centers = np.array([[0, 0], [20, 0], [0, 20], [20, 20]])
+    x = np.concatenate([c + rng.normal(0, 0.3, (8, 2)) for c in centers])
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    got = refine.tune_embedding_k(points, 8, n_init=1)
+    assert got.count() == 0  # 32 users in groups of 8 allow up to 4, but k starts at 8
+    rows = refine.tune_embedding_k(points, 4, n_init=2).collect()
+    assert [r.k for r in rows] == list(range(4, 9))
+    assert [r.k for r in rows if r.best] == [4]
+
+
+def test_merge_similar_clusters(spark):
+    points = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.99, 0.1]), (3, [0.0, 1.0])], "id long, embedding array<double>")
+    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 2)], "id long, label int")
+    assert {r.id: r.label for r in refine.merge_similar_clusters(points, labels, 0.85).collect()} == {0: 0, 1: 0, 2: 0, 3: 2}
+
+
+def test_refit_with_feedback(spark):
+    users = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(90)], "user_id long, department string")
+    train = users.select("user_id", (F.col("user_id") % 3).cast("int").alias("role_id"))
+    options = {"layers": (6,), "max_iter": 80}
+    before, _ = predict.train_mlp(users, train, columns=("department",), **options)
+    feedback = users.where("department = 'a'").select("user_id", F.lit(2).alias("corrected_role"))
+    for previous in (before, None):
+        _, accuracy, scores = predict.refit_with_feedback(users, train, feedback, previous, columns=("department",), **options)
+        assert accuracy == 1.0 and scores.count() == 90
+        assert all(r.role_id == (2 if r.user_id % 3 == 0 else r.user_id % 3) for r in scores.collect())
+
+
+def test_sample_by_hash(spark):
+    from accessmine.operators import stats
+
+    up = spark.createDataFrame([(u, p) for u in range(30) for p in range(u // 10 * 3, u // 10 * 3 + 3)], "user_id long, permission_id long")
+    assert stats.sampled_similarity(up, sample=10).first()["mean"] == 1.0  # the lowest ids are one department
+    assert stats.sampled_similarity(up, sample=10, seed=42).first()["mean"] < 1.0
+    assert stats.sampled_similarity(up, sample=30, seed=42).first()["pairs"] == stats.sampled_similarity(up, sample=30).first()["pairs"]
+
+
+def test_scores_with_single_and_equal_clusters(spark):
+    from accessmine.operators import metrics
+
+    points = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [9.0])], "id long, embedding array<double>")
+    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "id long, label int")
+    assert {r.id: round(r.silhouette, 6) for r in metrics.silhouette_points(points, labels).collect()} == {0: round(8 / 9, 6), 1: round(7 / 8, 6), 2: 0.0}
+    same = spark.createDataFrame([(0, [1.0]), (1, [3.0]), (2, [2.0])], "id long, embedding array<double>")
+    assert metrics.davies_bouldin(same, labels).first()[0] == 0.0
