@@ -308,7 +308,7 @@ def f14_combined_score(v: Iam) -> DataFrame:
 
 @query()
 def f14_tune_embedding_k(v: Iam) -> DataFrame:
-    return refine.tune_embedding_k(v.points, 25, n_init=1)
+    return refine.tune_embedding_k(v.points, 5, n_init=1)
 
 
 # ---- factors ----
