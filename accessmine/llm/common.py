@@ -101,6 +101,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -131,9 +132,12 @@ def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     return mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
-def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, A-Z lower-cased, and the first word of each text (with the end)."""
-    space = _SPACE[data]
+def words_of(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = _SPACE, folded: np.ndarray = _LOW) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, A-Z lower-cased, and the first word of each text (with the end).
+
+    Words are stretches of bytes that ``between`` doesn't mark; ``folded`` has each byte's lower case.
+    """
+    space = between[data]
     inside = ~space
     before = np.concatenate([[True], space[:-1]])
     after = np.concatenate([space[1:], [True]])
@@ -141,7 +145,7 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     before[cut] = True
     after[cut - 1] = True
     begin, end = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
-    return span_hashes(_BYTES[_LOW[data]], begin, end), np.searchsorted(begin, bounds)
+    return span_hashes(_BYTES[folded[data]], begin, end), np.searchsorted(begin, bounds)
 
 
 def shingle_sets(texts: pa.Array, size: int):

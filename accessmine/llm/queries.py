@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from accessmine.llm import common, exact_dedup, language_id, license_scan, mixing, near_dedup, packing, pii, quality, sharding, suffix_dedup, toxicity
+from accessmine.llm import common, exact_dedup, language_id, license_scan, mixing, near_dedup, packing, periodic, pii, quality, sharding, suffix_dedup, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -59,6 +59,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(common.documents(spark, sf_dir))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(common.documents(spark, sf_dir))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(common.documents(spark, sf_dir))
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_license_scan, op3_exact_dedup, op4_language_id, op5_mixing, op6_toxicity, op7_quality_rules, op8_suffix_dedup, op9_pii, op10_near_dedup, op13_sharding, pipeline)
+    for f in (op1_packing, op2_license_scan, op3_exact_dedup, op4_language_id, op5_mixing, op6_toxicity, op7_quality_rules, op8_suffix_dedup, op9_pii, op10_near_dedup, op12_periodic_runs, op13_sharding, pipeline)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
