@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from accessmine.llm import common, exact_dedup, language_id, license_scan, mixing, near_dedup, packing, periodic, pii, quality, sharding, suffix_dedup, toxicity
+from accessmine.llm import common, exact_dedup, language_id, lexical, license_scan, mixing, near_dedup, packing, periodic, pii, quality, sharding, suffix_dedup, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -59,6 +59,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(common.documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical.ranked(lexical.indexed(common.documents(spark, sf_dir)), items)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(common.documents(spark, sf_dir))
 
@@ -75,12 +80,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_license_scan, op3_exact_dedup, op4_language_id, op5_mixing, op6_toxicity, op7_quality_rules, op8_suffix_dedup, op9_pii, op10_near_dedup, op12_periodic_runs, op13_sharding, pipeline)
+    for f in (op1_packing, op2_license_scan, op3_exact_dedup, op4_language_id, op5_mixing, op6_toxicity, op7_quality_rules, op8_suffix_dedup, op9_pii, op10_near_dedup, op11_lexical_search, op12_periodic_runs, op13_sharding, pipeline)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
+    "op11_lexical_search": lexical.oracle(),
     "op3_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_NORM} AS norm FROM documents),
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
