@@ -23,6 +23,8 @@ BITS, PROBES = 12, 4
 BLOCK_BITS, BLOCK_DOCS, STEP = 1 << 23, 1024, 1 << 20
 #: Items, and terms of items, that are searched together in one pass (on average; an item's terms stay together).
 ITEMS, ITEM_TERMS = 256, 100_000
+#: Documents scored first for each that an item asks for: more than one, as the highest bounds are those of false presence.
+FIRST = 3
 #: Pairs of document and item up to which they are broadcast to the scan of the texts.
 LIGHT = 500_000
 
@@ -192,7 +194,7 @@ def _likeliest(searched: Searched):
     """Each task's documents of the highest bounds for every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, top = searched.ready(), searched.top
+        q, top = searched.ready(), searched.top * FIRST
         best, who = np.zeros((len(q.items), top)), np.zeros((len(q.items), top), np.int64)
         for rows, bound in _each(batches, q):
             better = np.flatnonzero(bound.max(axis=1) > best.min(axis=1))
@@ -264,8 +266,8 @@ def ranked(index: Index, items: DataFrame, top: int = 50) -> DataFrame:
     repeat an item, or a document, are each their own. Texts of any length go whole. Other
     columns, whatever their names, are not read; empty tables give an empty result.
 
-    The documents with the highest bounds are scored; the worst of an item's ``top`` is a
-    score that no result can be below. A second pass over the signatures gives every document
+    The documents with the highest bounds are scored; the worst of an item's best ``top`` of
+    them is a score that no result can be below. A second pass over the signatures gives every document
     whose bound reaches it, and those alone are scored. Many items go in blocks, one after
     another; a block's terms pass the driver.
     """
@@ -281,7 +283,7 @@ def ranked(index: Index, items: DataFrame, top: int = 50) -> DataFrame:
             continue
         searched = Searched(rows, index, top)
         pair = "_item long, _row long, bound long"
-        first = _best(index.signatures.mapInArrow(_likeliest(searched), pair), top, F.col("bound").desc(), F.col("_row"))
+        first = _best(index.signatures.mapInArrow(_likeliest(searched), pair), top * FIRST, F.col("bound").desc(), F.col("_row"))
         found = _best(rescored(index, stored(first.select("_item", "_row"), "lexical-first"), searched), top, *last)
         least = {r._item: r.least for r in found.groupBy("_item").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= top).collect()}
         left = stored(index.signatures.mapInArrow(_open(searched, least), pair).select("_item", "_row"), "lexical-open")
