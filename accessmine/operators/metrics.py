@@ -6,12 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accessmine.functions.common import distance, jaccard, ratio, small
+from accessmine.functions.arrays import matrix
+from accessmine.functions.common import distance, jaccard, ratio, small, squared, vector_sum
 
 BLOCK = 1024
+#: Points up to which sums over all pairs are the default; beyond them, sums by cluster.
+PAIR_ROWS = 20_000
+#: Numbers (clusters x dimensions) that go to every task at most.
+MOMENT_CELLS = 20_000_000
 
 
 def centroids(points: DataFrame, labels: DataFrame) -> DataFrame:
@@ -75,6 +82,59 @@ def silhouette(points: DataFrame, labels: DataFrame) -> DataFrame:
     return silhouette_points(points, labels).agg(F.avg("silhouette").alias("s")).crossJoin(n).select(F.when(F.col("k") > 1, F.col("s")).otherwise(0.0).alias("silhouette"))
 
 
+def moments(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, n, total, squares): each cluster's points, their sum and the sum of their squared lengths; noise left out."""
+    e = F.col("embedding").cast("array<double>")
+    rows = points.join(labels.where("label <> -1"), "id").select("label", e.alias("embedding"))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), vector_to_array(vector_sum("embedding")).alias("total"), F.sum(squared(F.col("embedding"))).alias("squares"))
+
+
+def silhouette_squared_points(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, silhouette) by squared Euclidean distances, in time linear in the points.
+
+    The mean squared distance of a point x to a cluster of n points with sum t and squared
+    lengths q is |x|^2 - 2 x.t/n + q/n, so two passes do: one for the clusters' sums, which
+    go to every task (MOMENT_CELLS numbers at most, else an error), one for the points.
+    Points that lie alone in their cluster have 0, and so has everything with one cluster.
+    """
+    found = moments(points, labels)
+    size = found.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("total")).alias("d")).first()
+    if size.k * (size.d or 0) > MOMENT_CELLS:
+        raise ValueError(f"{size.k} clusters of {size.d} dimensions are over {MOMENT_CELLS} numbers")
+    found = sorted(found.collect(), key=lambda r: r.label)
+    names, n = np.array([r.label for r in found], np.int64), np.array([r.n for r in found], float)
+    total = np.array([r.total for r in found]).reshape(len(found), size.d or 0)
+    # around the mean, as far from it differences of large numbers lose digits
+    middle = total.sum(0) / max(1.0, n.sum())
+    squares = np.array([r.squares for r in found]) - 2 * total @ middle + n * (middle @ middle)
+    total = total - n[:, None] * middle
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column("embedding")) - middle
+            own = np.searchsorted(names, batch.column("label").to_numpy())
+            d = np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ (total / n[:, None]).T + squares / n)
+            rows = np.arange(len(x))
+            a = d[rows, own] * n[own] / np.maximum(1, n[own] - 1)
+            d[rows, own] = np.inf
+            b = d.min(axis=1)
+            top = np.maximum(a, b)
+            some = (n[own] > 1) & np.isfinite(b) & (top > 0)
+            s = np.where(some, (b - a) / np.where(some, top, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s)], names=["id", "silhouette"])
+
+    rows = points.join(labels.where("label <> -1"), "id")
+    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.mapInArrow(run, "id long, silhouette double")
+
+
+def silhouette_squared(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row, as silhouette by squared distances; 0 with fewer than two clusters or no points."""
+    return silhouette_squared_points(points, labels).agg(F.coalesce(F.avg("silhouette"), F.lit(0.0)).alias("silhouette_squared"))
+
+
 def davies_bouldin(points: DataFrame, labels: DataFrame) -> DataFrame:
     """One row; infinite with fewer than two clusters."""
     rows, c = _with_centroid(points, labels)

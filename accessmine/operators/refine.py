@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accessmine.functions.common import cut, distance, dot, small
+from accessmine.functions.common import cut, distance, dot, small, squared
 from accessmine.operators.clustering import kmeans
-from accessmine.operators.metrics import centroids, davies_bouldin, distance_sums, silhouette
+from accessmine.operators.metrics import PAIR_ROWS, centroids, davies_bouldin, distance_sums, moments, silhouette, silhouette_squared
 
 
 def cluster_quality(points: DataFrame, labels: DataFrame) -> DataFrame:
@@ -16,6 +16,18 @@ def cluster_quality(points: DataFrame, labels: DataFrame) -> DataFrame:
     return own.select("label", F.when(F.col("n") > 1, 1 / (1 + F.col("t") / (F.col("n") * (F.col("n") - 1)))).otherwise(0.0).alias("quality"))
 
 
+def cluster_quality_squared(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, quality): 1 / (1 + root mean squared distance of pairs), never above cluster_quality; 0 for single points.
+
+    From one sum for each cluster: the squared distances of all ordered pairs add up to
+    2 n q - 2 |t|^2 for n points with sum t and squared lengths q.
+    """
+    m = moments(points, labels)
+    pairs = F.greatest(F.lit(0.0), 2 * F.col("n") * F.col("squares") - 2 * squared(F.col("total")))
+    mean = pairs / (F.col("n") * (F.col("n") - 1))
+    return m.select("label", F.when(F.col("n") > 1, 1 / (1 + F.sqrt(mean))).otherwise(0.0).alias("quality"))
+
+
 def reassign_low_quality(points: DataFrame, labels: DataFrame, quality: DataFrame, least: float = 0.6) -> DataFrame:
     """(id, label): points of poor clusters go to the nearest centroid of the good ones, as they were before.
 
@@ -51,11 +63,15 @@ def merge_similar_clusters(points: DataFrame, labels: DataFrame, threshold: floa
     return labels.join(F.broadcast(table), "label", "left").select("id", F.coalesce("_to", F.col("label").cast("long")).alias("label"))
 
 
-def refine(points: DataFrame, labels: DataFrame, iterations: int = 3, least: float = 0.6, threshold: float = 0.85) -> DataFrame:
-    """Quality, reassignment and merging, again and again; stops early when nothing changes."""
+def refine(points: DataFrame, labels: DataFrame, iterations: int = 3, least: float = 0.6, threshold: float = 0.85, pair_rows: int = PAIR_ROWS) -> DataFrame:
+    """Quality, reassignment and merging, again and again; stops early when nothing changes.
+
+    Over more than ``pair_rows`` points quality goes by cluster_quality_squared.
+    """
     labels = cut(labels)
+    quality = cluster_quality_squared if points.count() > pair_rows else cluster_quality
     for _ in range(iterations):
-        new = cut(merge_similar_clusters(points, reassign_low_quality(points, labels, cluster_quality(points, labels), least), threshold))
+        new = cut(merge_similar_clusters(points, reassign_low_quality(points, labels, quality(points, labels), least), threshold))
         if new.join(labels.withColumnRenamed("label", "_o"), "id").where("label <> _o").isEmpty():
             return new
         labels = new
@@ -75,10 +91,14 @@ def combined_score(sweep: DataFrame) -> DataFrame:
     return s.crossJoin(top).withColumn("best", -F.col("t.m") == F.col("k")).drop("t")
 
 
-def tune_embedding_k(points: DataFrame, grouping: int, n_init: int = 10) -> DataFrame:
-    """combined_score of K-means for every k of tuning_ks; no row if the users allow no k."""
-    rows = []
-    for k in tuning_ks(points.count(), grouping):
+def tune_embedding_k(points: DataFrame, grouping: int, n_init: int = 10, pair_rows: int = PAIR_ROWS) -> DataFrame:
+    """combined_score of K-means for every k of tuning_ks; no row if the users allow no k.
+
+    Over more than ``pair_rows`` points the silhouette is by squared distances, as ``squared`` says.
+    """
+    rows, n = [], points.count()
+    score = silhouette_squared if n > pair_rows else silhouette
+    for k in tuning_ks(n, grouping):
         labels = kmeans(points, k, n_init=n_init)[0]
-        rows.append((k, float(silhouette(points, labels).first()[0]), float(davies_bouldin(points, labels).first()[0])))
-    return combined_score(points.sparkSession.createDataFrame(rows, "k long, silhouette double, davies_bouldin double"))
+        rows.append((k, float(score(points, labels).first()[0]), float(davies_bouldin(points, labels).first()[0]), n > pair_rows))
+    return combined_score(points.sparkSession.createDataFrame(rows, "k long, silhouette double, davies_bouldin double, squared boolean"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accessmine.functions.common import cut
-from accessmine.operators import catalog, clustering, compare, factor, features, generate, graph, metrics, predict, refine, roles, similarity
+from accessmine.operators import catalog, clustering, compare, factor, features, generate, graph, metrics, neighbours, predict, refine, roles, similarity
 from accessmine.plans.iam_view import Iam
 from accessmine.plans.registry import GROUPING, IMPACT, query
 from accessmine.sources import io
@@ -77,6 +77,11 @@ def h6_silhouette(v: Iam) -> DataFrame:
     return metrics.silhouette(v.points, v.point_labels)
 
 
+@query(", d AS (SELECT a.id, a.label AS own, b.label, sum(list_distance(a.e, b.e) ** 2) AS t, count(*) AS n FROM points a, points b GROUP BY a.id, a.label, b.label), s AS (SELECT id, max(n) FILTER (own = label) AS size, max(t / (n - 1)) FILTER (own = label) AS a, min(t / n) FILTER (own <> label) AS b FROM d GROUP BY id) SELECT round(avg(CASE WHEN size > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette_squared FROM s")
+def h6_silhouette_squared(v: Iam) -> DataFrame:
+    return metrics.silhouette_squared(v.points, v.point_labels)
+
+
 @query(_CENT + ", s AS (SELECT p.label, avg(list_distance(e, c)) AS s, any_value(c) AS c FROM points p JOIN cent ON p.label = cent.label GROUP BY p.label), r AS (SELECT a.label, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM s a, s b WHERE a.label <> b.label GROUP BY a.label) SELECT round(avg(r), 6) AS davies_bouldin FROM r")
 def h7_davies_bouldin(v: Iam) -> DataFrame:
     return metrics.davies_bouldin(v.points, v.point_labels)
@@ -182,6 +187,17 @@ def e1_similarity_join(v: Iam) -> DataFrame:
     return similarity.similarity_join(v.app_rights, "jaccard", 0.85)
 
 
+@query()
+def e1_minhash_join(v: Iam) -> DataFrame:
+    """The first of these by MinHash: its pairs are a subset of the exact ones, which SQL can't choose."""
+    return similarity.similarity_join(v.app_rights, "jaccard", 0.85, mode="minhash")
+
+
+@query(_AP + ", l AS (SELECT a, b FROM sim WHERE jac >= 0.85 - 1e-9 UNION ALL SELECT b, a FROM sim WHERE jac >= 0.85 - 1e-9), p AS (SELECT user_id, min(user_id) OVER (PARTITION BY perms) AS profile FROM (SELECT user_id, list_sort(list(permission_id)) AS perms FROM ap GROUP BY user_id)) SELECT p.user_id, p.profile, count(l.b) AS links FROM p LEFT JOIN l ON l.a = p.user_id GROUP BY p.user_id, p.profile")
+def e1_similarity_links(v: Iam) -> DataFrame:
+    return similarity.similarity_links(v.app_rights, "jaccard", 0.85)
+
+
 @query(_AP + " SELECT a, b, round(cos, 6) AS value FROM sim WHERE cos >= 0.93 - 1e-9")
 def e1_cosine_join(v: Iam) -> DataFrame:
     return similarity.similarity_join(v.app_rights, "cosine", 0.93)
@@ -269,6 +285,12 @@ def f8_spectral(v: Iam) -> DataFrame:
     return clustering.spectral(v.points, 10)
 
 
+@query()
+def f8_neighbours(v: Iam) -> DataFrame:
+    """The nearest ten by random projections; SQL can't say which of them a projection finds."""
+    return neighbours.nearest_likely(v.points, 10)
+
+
 @query()
 def f9_cluster_auto(v: Iam) -> DataFrame:
     return clustering.cluster_auto(v.points, 10)
@@ -279,6 +301,11 @@ def f10_cluster_quality(v: Iam) -> DataFrame:
     return refine.cluster_quality(v.points, v.point_labels)
 
 
+@query(", d AS (SELECT a.label, avg(list_distance(a.e, b.e) ** 2) AS m FROM points a JOIN points b ON a.label = b.label AND a.id <> b.id GROUP BY a.label) SELECT CAST(label AS BIGINT) AS label, round(1 / (1 + sqrt(m)), 6) AS quality FROM d")
+def f10_cluster_quality_squared(v: Iam) -> DataFrame:
+    return refine.cluster_quality_squared(v.points, v.point_labels)
+
+
 @query(_CENT + ", m AS (SELECT p.id, arg_min(cent.label, round(list_distance(p.e, c), 9)) AS new FROM points p, cent WHERE p.label % 3 = 0 AND cent.label % 3 <> 0 GROUP BY p.id) SELECT p.id, CAST(coalesce(m.new, p.label) AS BIGINT) AS label FROM points p LEFT JOIN m ON m.id = p.id")
 def f11_reassign(v: Iam) -> DataFrame:
     quality = v.point_labels.select("label").distinct().withColumn("quality", F.when(F.col("label") % 3 == 0, 0.1).otherwise(0.9))
