@@ -6,20 +6,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from accessmine.functions.arrays import lists
 from accessmine.functions.common import cut, ratio, small, vector_sum
+from accessmine.operators import spectrum
 from accessmine.operators.catalog import dense_index
 
 
-def nmf(up: DataFrame, k: int, max_iter: int = 60, tol: float = 1e-4, seed: int = 42, loss: str = "frobenius", l1: float = 0.0, l2: float = 0.0) -> tuple[DataFrame, DataFrame, list[float]]:
+def spectral_start(rows: DataFrame, p: int, k: int, seed: int = 42) -> np.ndarray:
+    """A k x p factor to begin with, from the leading singular vectors of 0/1 rows (user_id, cols).
+
+    Of each pair of vectors, the positive or the negative halves are taken, whichever weigh
+    more together, and places that would be zero get the mean of all cells, as
+    multiplications could not move them. One pass more than the vectors themselves take
+    sums the squares of either half over all users. Directions that the matrix lacks are random.
+    """
+    ones = rows.select(F.col("cols").cast("array<int>").alias("cols"), F.transform("cols", lambda _: F.lit(1.0)).alias("weights"))
+    values, basis = spectrum.leading(ones, p, k, seed)
+    found = basis.shape[1]
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1, 2 * found + 2))
+        for batch in batches:
+            cols, weights, start = spectrum.sparse(batch)
+            y = spectrum.times(cols, weights, start, basis)
+            total += np.concatenate([(np.maximum(y, 0) ** 2).sum(0), (np.minimum(y, 0) ** 2).sum(0), [len(cols), len(y)]])
+        yield pa.RecordBatch.from_arrays([lists(total)], names=["s"])
+
+    summed = ones.mapInArrow(halves, "s array<double>").agg(vector_sum("s").alias("s")).first().s
+    total = np.zeros(2 * found + 2) if summed is None else summed.toArray()
+    mean = total[-2] / max(1.0, total[-1] * p)
+    h = np.zeros((k, p))
+    for r in range(found):
+        plus, minus = np.maximum(basis[:, r], 0), np.maximum(-basis[:, r], 0)
+        # the users' vector is what the rows make of this one, shortened by the singular value
+        a, b = np.sqrt(total[r]) * np.linalg.norm(plus), np.sqrt(total[found + r]) * np.linalg.norm(minus)
+        side, weight = (plus, a) if a >= b else (minus, b)
+        if values[r] > 1e-12:
+            h[r] = np.sqrt(weight) * side / max(np.linalg.norm(side), 1e-12)
+    empty = h.sum(1) == 0
+    h[empty] = np.random.default_rng(seed).random((int(empty.sum()), p))
+    return np.where(h > 0, h, max(mean, 1e-6))
+
+
+def nmf(up: DataFrame, k: int, max_iter: int = 60, tol: float = 1e-4, seed: int = 42, loss: str = "frobenius", l1: float = 0.0, l2: float = 0.0, start: str = "random") -> tuple[DataFrame, DataFrame, list[float]]:
     """(W: user_id, role_id, weight), (H: role_id, permission_id, weight), errors by round.
 
     W stays with the users: each round a task solves its users' rows against the k x P
     factor and gives back only its share of two small sums, which update the factor by
-    multiplication. Starting values depend on the seed and ids alone.
+    multiplication. Starting values depend on the seed and ids alone, with start "nndsvda" on
+    the matrix (spectral_start).
     """
+    if start not in ("random", "nndsvda"):
+        raise ValueError(f"no start {start}")
     perms = dense_index(up.select("permission_id").distinct(), "permission_id", "j")
     ids = [r["permission_id"] for r in perms.orderBy("j").collect()]
     p = len(ids)
@@ -27,7 +69,7 @@ def nmf(up: DataFrame, k: int, max_iter: int = 60, tol: float = 1e-4, seed: int
         raise ValueError("the permission side of the factor is too large for one machine")
     rows = up.join(small(perms), "permission_id").groupBy("user_id").agg(F.array_sort(F.collect_set("j")).alias("cols"))
     rows = cut(rows)
-    h = np.random.default_rng(seed).random((k, p)) + 0.1
+    h = np.random.default_rng(seed).random((k, p)) + 0.1 if start == "random" or not p else spectral_start(rows, p, k, seed)
     errors: list[float] = []
     eps = 1e-12
 
@@ -85,7 +127,14 @@ def nmf(up: DataFrame, k: int, max_iter: int = 60, tol: float = 1e-4, seed: int
                 yield pd.DataFrame({"user_id": np.repeat(part["user_id"].to_numpy(), k), "role_id": np.tile(np.arange(k), len(part)), "weight": w.ravel()})
 
     w = rows.mapInPandas(weights, "user_id long, role_id int, weight double")
-    factor = up.sparkSession.createDataFrame([(r, int(ids[j]), float(h[r, j])) for r in range(k) for j in range(p)], "role_id int, permission_id long, weight double")
+    named = np.array(ids, np.int64)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(p, r, np.int32)), pa.array(named), pa.array(final.value[r])], names=["role_id", "permission_id", "weight"])
+
+    factor = up.sparkSession.range(0, k, 1, min(k, 16)).mapInArrow(cells, "role_id int, permission_id long, weight double")
     return w, factor, errors
 
 
@@ -143,10 +192,48 @@ def active_permissions(h: DataFrame, threshold: float = 0.01) -> DataFrame:
 
 
 def reconstruction_quality(up: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
-    """mse and accuracy (at 0.5) over all cells of users in w and permissions in h."""
-    x = w.join(small(h.withColumnRenamed("weight", "hw")), "role_id").groupBy("user_id", "permission_id").agg(F.sum(F.col("weight") * F.col("hw")).alias("y"))
-    cells = x.join(up.select("user_id", "permission_id", F.lit(1.0).alias("x")), ["user_id", "permission_id"], "left").na.fill(0.0, ["x"])
-    return cells.agg(F.avg((F.col("x") - F.col("y")) ** 2).alias("mse"), F.avg((((F.col("y") > 0.5).cast("double")) == F.col("x")).cast("double")).alias("accuracy"))
+    """mse and accuracy (at 0.5) over all cells of users in w and permissions in h.
+
+    The squared error is |X|^2 - 2 <X, WH> + <W'W, HH'>: the last from two sums of k x k
+    numbers, the others in the pass over the users' rows that counts the right cells. That
+    pass makes a block of users' rows of WH at a time, so no cell is ever a row.
+    """
+    spark = up.sparkSession
+    roles = {r[0]: x for x, r in enumerate(h.select("role_id").union(w.select("role_id")).distinct().orderBy("role_id").collect())}
+    perms = cut(dense_index(h.select("permission_id").distinct(), "permission_id", "j"))
+    k, p = len(roles), perms.count()
+    if k * p > spectrum.BASIS_CELLS:
+        raise ValueError(f"{k} roles of {p} permissions are over {spectrum.BASIS_CELLS} numbers")
+    side = np.zeros((k, p))
+    got = h.join(small(perms), "permission_id").groupBy("role_id", "j").agg(F.sum("weight").alias("weight")).toArrow()
+    side[[roles[r] for r in got["role_id"].to_pylist()], got["j"].to_numpy()] = got["weight"].to_numpy()
+    shared = spark.sparkContext.broadcast(side)
+    users = w.groupBy("user_id").agg(F.collect_list(F.struct(F.col("role_id").cast("int").alias("r"), "weight")).alias("w"))
+    held = up.join(small(perms), "permission_id").groupBy("user_id").agg(F.collect_set(F.col("j").cast("int")).alias("cols"))
+    rows = users.join(held, "user_id", "left").select(F.col("w.r").alias("r"), F.col("w.weight").alias("weight"), F.coalesce("cols", F.array().cast("array<int>")).alias("cols"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, total = shared.value, np.zeros(3)
+        inner = h @ h.T
+        place = np.full(max(roles, default=0) + 1, -1)
+        place[list(roles)] = list(roles.values())
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                own = np.zeros((part.num_rows, k))
+                lengths = part.column("r").value_lengths().to_numpy(zero_copy_only=False)
+                np.add.at(own, (np.repeat(np.arange(len(own)), lengths), place[part.column("r").flatten().to_numpy(zero_copy_only=False)]), part.column("weight").flatten().to_numpy(zero_copy_only=False))
+                at = np.repeat(np.arange(len(own)), part.column("cols").value_lengths().to_numpy(zero_copy_only=False))
+                cols = part.column("cols").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                y = own @ h
+                over = y > 0.5
+                hits = over[at, cols]
+                # cells below 0.5 are right where nothing is held, those above where something is
+                total += [len(cols) - 2 * y[at, cols].sum() + ((own @ inner) * own).sum(), (~over).sum() - (~hits).sum() + hits.sum(), len(own) * p]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.tolist()], names=["e", "right", "n"])
+
+    out = rows.mapInArrow(sums, "e double, right double, n double").agg(F.sum("e").alias("e"), F.sum("right").alias("right"), F.sum("n").alias("n"))
+    return out.select(F.try_divide("e", "n").alias("mse"), F.try_divide("right", "n").alias("accuracy"))
 
 
 def tune_components(up: DataFrame, most: int = 15, default: int = 8, max_iter: int = 15) -> tuple[DataFrame, int]:

@@ -346,6 +346,11 @@ def g1_nmf(v: Iam) -> DataFrame:
     return factor.nmf(v.up, 5, max_iter=5)[0]
 
 
+@query()
+def g1_nmf_spectral_start(v: Iam) -> DataFrame:
+    return factor.nmf(v.up, 5, max_iter=5, start="nndsvda")[0]
+
+
 @query("SELECT user_id, CAST(role_id AS BIGINT) AS role_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, role_id) AS r FROM w) WHERE r = 1")
 def g2_dominant_role(v: Iam) -> DataFrame:
     return factor.dominant_role(v.weights)
