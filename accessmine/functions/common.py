@@ -6,22 +6,30 @@ import tempfile
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast by name; larger ones are left to Spark.
 BROADCAST_ROWS = 200_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed to the shared folder; one of our own only in local mode, where none is set."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; one of our own only in local mode, where none is set."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and context.master.split("[")[0] != "local":
+    set_ = context._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (set_.get() if set_.isDefined() else None)
+    if not found:
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-shared-"))
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+    if not set_.isDefined():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -18,6 +18,8 @@ from accessmine.operators.features import ATTRIBUTES, encoder, train_test_split
 
 #: Permission models up to which they are sent to every task; each is a map of attribute values.
 MODELS_SENT = 20_000
+#: Attribute profiles that go to every task at most, and permissions that one task fits.
+PROFILES, PERMISSIONS_A_TASK = 20_000, 64
 
 
 def train_role_classifier(users: DataFrame, labels: DataFrame, trees: int = 100, columns: tuple[str, ...] = ATTRIBUTES, seed: int = 42) -> tuple[PipelineModel, float, DataFrame]:
@@ -85,41 +87,64 @@ def train_permission_predictor(users: DataFrame, lists: DataFrame, columns: tupl
 
     Users with equal attributes are one row with two counts, so a permission's model is
     fitted on as many rows as there are profiles, not users. weights maps "column=value"
-    (and "" for the constant) to a number.
+    (and "" for the constant) to a number. A task fits a block of permissions over one
+    design matrix of all profiles (PROFILES at most, which go to every task).
     """
     profile = F.array(*[F.concat(F.lit(f"{c}="), F.col(c)) for c in columns])
     rows = users.withColumn("profile", profile).join(lists, "user_id")
     totals = rows.groupBy("profile").agg(F.count(F.lit(1)).alias("n"))
     held = rows.select("profile", F.explode("permissions").alias("permission_id")).groupBy("profile", "permission_id").agg(F.count(F.lit(1)).alias("m"))
-    perms = held.select("permission_id").distinct()
-    table = perms.crossJoin(F.broadcast(totals)) if totals.limit(20_001).count() <= 20_000 else perms.crossJoin(totals)
-    table = table.join(held, ["permission_id", "profile"], "left").na.fill(0, ["m"])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({v for p in pdf["profile"] for v in p})
-        at = {v: i for i, v in enumerate(names)}
-        x = np.zeros((len(pdf), len(names) + 1))
+    totals = totals.withColumn("pid", F.xxhash64("profile")).limit(PROFILES + 1).collect()
+    if len(totals) > PROFILES:
+        raise ValueError(f"more than {PROFILES} attribute profiles")
+    names = sorted({v for r in totals for v in r["profile"]})
+    at = {v: i for i, v in enumerate(names)}
+    order = np.argsort(np.array([r["pid"] for r in totals], np.int64))
+    ids = np.array([totals[i]["pid"] for i in order], np.int64)
+    marks = np.array([[at[v] for v in totals[i]["profile"]] for i in order], np.int32).reshape(len(ids), len(columns))
+    n = np.array([totals[i]["n"] for i in order], float)
+
+    def design() -> np.ndarray:
+        x = np.zeros((len(ids), len(names) + 1))
         x[:, -1] = 1
-        for i, p in enumerate(pdf["profile"]):
-            x[i, [at[v] for v in p]] = 1
-        n, m, w = pdf["n"].to_numpy(float), pdf["m"].to_numpy(float), np.zeros(len(names) + 1)
+        x[np.arange(len(ids))[:, None], marks] = 1
+        return x
+
+    def one(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+        w = np.zeros(len(names) + 1)
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (m - n * p) - ridge * w)
             w += step
             if np.abs(step).max() < 1e-8:
                 break
-        return pd.DataFrame({"permission_id": [pdf["permission_id"].iloc[0]], "weights": [dict(zip([*names, ""], w.tolist(), strict=True))]})
+        return w
 
-    return table.groupBy("permission_id").applyInPandas(fit, "permission_id long, weights map<string,double>")
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, out = design(), []
+        for permission, own in pdf.groupby("permission_id"):
+            m = np.zeros(len(ids))
+            m[np.searchsorted(ids, own["pid"].to_numpy())] = own["m"].to_numpy()
+            out.append((permission, dict(zip([*names, ""], one(x, m).tolist(), strict=True))))
+        return pd.DataFrame(out, columns=["permission_id", "weights"])
+
+    perms = held.select("permission_id").distinct().count()
+    block = F.pmod(F.xxhash64("permission_id"), F.lit(max(1, -(-perms // PERMISSIONS_A_TASK))))
+    cells = held.select(block.alias("block"), "permission_id", F.xxhash64("profile").alias("pid"), "m")
+    return cells.groupBy("block").applyInPandas(fit, "permission_id long, weights map<string,double>")
 
 
 def predict_permissions(models: DataFrame, users: DataFrame, columns: tuple[str, ...] = ATTRIBUTES, grant: float = 0.5) -> DataFrame:
-    """(user_id, permission_id, p, granted)."""
-    rows = users.select("user_id", F.array(*[F.concat(F.lit(f"{c}="), F.col(c)) for c in columns]).alias("profile"))
+    """(user_id, permission_id, p, granted).
+
+    A permission's chance is worked out once for each attribute profile; users come in last,
+    by their profile.
+    """
+    users = users.select("user_id", F.array(*[F.concat(F.lit(f"{c}="), F.col(c)) for c in columns]).alias("profile"))
+    rows = users.select("profile").distinct()
     score = F.aggregate("profile", F.element_at("weights", F.lit("")), lambda s, v: s + F.coalesce(F.element_at("weights", v), F.lit(0.0)))
-    out = rows.crossJoin(small(models, MODELS_SENT)).withColumn("p", 1 / (1 + F.exp(-score)))
-    return out.select("user_id", "permission_id", "p", (F.col("p") > grant).alias("granted"))
+    chances = rows.crossJoin(small(models, MODELS_SENT)).select("profile", "permission_id", (1 / (1 + F.exp(-score))).alias("p"))
+    return users.join(chances, "profile").select("user_id", "permission_id", "p", (F.col("p") > grant).alias("granted"))
 
 
 def recommend_roles(probabilities: DataFrame, names: DataFrame, threshold: float = 0.25) -> DataFrame:

@@ -269,6 +269,12 @@ def f4_choose_k(v: Iam) -> DataFrame:
     return clustering.choose_k(s)
 
 
+@query()
+def f4_tuned_k(v: Iam) -> DataFrame:
+    """A real sweep over the points and the k that follows from it."""
+    return clustering.choose_k(clustering.sweep_k(v.points, range(2, 13, 2), n_init=1))
+
+
 @query("SELECT greatest(2, count(*) // 9) AS k, greatest(5, count(*) // 100) AS k_embeddings FROM users")
 def f5_default_k(v: Iam) -> DataFrame:
     n = v.users.count()
@@ -528,7 +534,8 @@ def j8_refit(v: Iam) -> DataFrame:
     """The predictor fitted again after reviewers moved the largest cohort's users to the next one."""
     train = v.labels.where("label <> -1").select("user_id", F.col("label").alias("role_id"))
     most = train.groupBy("role_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", "role_id"))["role_id"].alias("role_id"))
-    feedback = train.join(F.broadcast(most), "role_id").select("user_id", ((F.col("role_id") + 1) % 5).alias("corrected_role"))
+    roles_ = train.agg(F.max("role_id")).first()[0] + 1
+    feedback = train.join(F.broadcast(most), "role_id").select("user_id", ((F.col("role_id") + 1) % roles_).alias("corrected_role"))
     before, _ = predict.train_mlp(v.users, train)
     return predict.refit_with_feedback(v.users, train, feedback, before)[2]
 
@@ -566,6 +573,16 @@ def j11_provisioning_gap(v: Iam) -> DataFrame:
     return metrics.provisioning_gap(v.up, granted, _role_perms(v))
 
 
+@query()
+def j11_predicted_gap(v: Iam) -> DataFrame:
+    """The whole way: factors to roles and labels, a forest that predicts them, and each test user's gap under the predicted role."""
+    w, h, _ = factor.nmf(v.up, 5, max_iter=20)
+    weights = cut(h)
+    _, _, predicted = predict.train_role_classifier(v.users, cut(factor.dominant_role(w)))
+    granted = cut(predicted.select("user_id", F.col("prediction").cast("int").alias("role")))
+    return metrics.provisioning_gap(v.up, granted, weights.where("weight > 0.01").select(F.col("role_id").alias("role"), "permission_id"))
+
+
 # ---- synthetic data, as many users as the tables have ----
 
 

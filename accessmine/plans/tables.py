@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accessmine.functions.common import small
+from accessmine.functions.common import shared_dir, small
 from accessmine.operators import catalog, features, quality, stats
 from accessmine.plans.iam_view import Iam
 from accessmine.plans.registry import query
@@ -19,56 +21,65 @@ def _bad(v: Iam) -> DataFrame:
     return v.rights.unionByName(v.spark.createDataFrame([(-1, 1, 10), (None, 1, 10), (1, 1, -5), (1, None, 10)], "user_id long, application_id long, permission_id long"))
 
 
+def _read(v: Iam) -> dict[str, DataFrame]:
+    """The four tables, written as CSV to the shared folder and read again."""
+    folder = f"{shared_dir(v.spark)}/accessmine/tables-{uuid.uuid4().hex}"
+    none = F.lit(None).cast("string")
+    tables = {
+        "users": v.users.withColumn("first_name", none).withColumn("last_name", none),
+        "applications": v.applications.withColumnRenamed("app_name", "name"),
+        "permissions": v.permissions.withColumnRenamed("perm_name", "name"),
+        "rights": v.rights,
+    }
+    for name, table in tables.items():
+        io.write_csv(table.select(*io.SCHEMAS[name].fieldNames()), f"{folder}/{name}.csv")
+    return io.read_iam(v.spark, folder)
+
+
 @query("SELECT application_id, count(*) AS n, min(perm_name) AS first_name FROM permissions GROUP BY application_id")
 def a1_read_tables(v: Iam) -> DataFrame:
     """Explicit schemas: what Spark wrote as CSV comes back as it was."""
-    import uuid
-
-    from accessmine.functions.common import cut
-
-    base = v.spark.conf.get("spark.checkpoint.dir", None)
-    perms = v.permissions.select("application_id", "permission_id", F.col("perm_name").alias("name"))
-    if base:
-        path = f"{base}/accessmine/permissions-{uuid.uuid4().hex}.csv"
-        io.write_csv(perms, path)
-        perms = io.read_table(v.spark, path, "permissions")
-    else:
-        perms = cut(perms)
+    perms = _read(v)["permissions"]
     perms = catalog.normalise_names(perms, "perm_name")
     return perms.groupBy("application_id").agg(F.count(F.lit(1)).alias("n"), F.min("perm_name").alias("first_name"))
 
 
+@query("SELECT 'users' AS name, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS ids, max(position || department || location || contract_type || seniority) AS last FROM users UNION ALL SELECT 'applications', count(*), CAST(sum(application_id) AS BIGINT), max(app_name || category) FROM applications UNION ALL SELECT 'permissions', count(*), CAST(sum(application_id + permission_id) AS BIGINT), max(perm_name) FROM permissions UNION ALL SELECT 'rights', count(*), CAST(sum(user_id + application_id + permission_id) AS BIGINT), '' FROM rights")
+def a1_read_iam(v: Iam) -> DataFrame:
+    """All four tables from files, each told by its rows, the sum of its ids and its last text."""
+    t = _read(v)
+    told = lambda name, ids, last: t[name].agg(F.count(F.lit(1)).alias("n"), F.sum(sum(map(F.col, ids), F.lit(0))).alias("ids"), F.max(last).alias("last")).select(F.lit(name).alias("name"), "n", "ids", "last")
+    out = told("users", ["user_id"], F.concat("position", "department", "location", "contract_type", "seniority"))
+    out = out.unionByName(told("applications", ["application_id"], F.concat("name", "category")))
+    out = out.unionByName(told("permissions", ["application_id", "permission_id"], F.col("name")))
+    return out.unionByName(told("rights", ["user_id", "application_id", "permission_id"], F.lit("")))
+
+
 @query("SELECT permission_id, CAST(permission_id AS VARCHAR) AS perm_name FROM permissions")
 def a2_normalise_names(v: Iam) -> DataFrame:
     return catalog.normalise_names(catalog.require_columns(v.permissions.select("permission_id"), ["permission_id"]), "perm_name").select("permission_id", "perm_name")
 
 
-_COLS = [10, 11, 12, 20, 21, 50]
-
-
-@query("SELECT 'User_' || user_id AS \"user\", 'p_' || permission_id AS permission FROM up JOIN users USING (user_id) WHERE permission_id IN (10, 11, 12, 20, 21, 50)")
-def a3_from_wide(v: Iam) -> DataFrame:
-    wide = io.to_wide(v.up.where(F.col("permission_id").isin(_COLS)), v.users, _COLS)
-    return io.from_wide(wide)
-
-
-@query("SELECT u.user_id, " + ", ".join(f"CAST(count(*) FILTER (permission_id = {c}) AS BIGINT) AS p_{c}" for c in _COLS) + " FROM users u LEFT JOIN up ON u.user_id = up.user_id GROUP BY u.user_id")
-def a6_to_wide(v: Iam) -> DataFrame:
-    return io.to_wide(v.up.where(F.col("permission_id").isin(_COLS)), v.users, _COLS)
-
-
 def _all_columns(v: Iam) -> list[int]:
     """Every permission in order; to_wide itself refuses more columns than a wide matrix may have."""
     return [r[0] for r in v.permissions.select("permission_id").distinct().orderBy("permission_id").limit(io.WIDE_MOST + 1).collect()]
 
 
 @query("SELECT 'User_' || user_id AS \"user\", 'p_' || permission_id AS permission FROM up JOIN users USING (user_id) JOIN permissions USING (permission_id)")
-def a3_from_wide_whole(v: Iam) -> DataFrame:
+def a3_from_wide(v: Iam) -> DataFrame:
     return io.from_wide(io.to_wide(v.up, v.users, _all_columns(v)))
 
 
+@query("SELECT count(*) AS users, (SELECT count(*) FROM permissions) AS permissions, (SELECT count(*) FROM up JOIN users USING (user_id) JOIN permissions USING (permission_id)) AS ones, round(100 * (1 - (SELECT count(*) FROM up JOIN users USING (user_id) JOIN permissions USING (permission_id)) / (count(*) * (SELECT count(*) FROM permissions))::DOUBLE), 6) AS sparsity_pct FROM users")
+def a3_wide_report(v: Iam) -> DataFrame:
+    """Shape and sparsity of the wide matrix, gathered while its cells are counted by user."""
+    long, report = io.from_wide_observed(io.to_wide(v.up, v.users, _all_columns(v)))
+    long.groupBy("user").count().write.format("noop").mode("overwrite").save()
+    return v.spark.createDataFrame([io.wide_report(report)])
+
+
 @query("SELECT u.user_id, (SELECT count(*) FROM permissions) AS columns, count(p.permission_id) AS ones, coalesce(string_agg('p_' || p.permission_id, ',' ORDER BY p.permission_id), '') AS held FROM users u LEFT JOIN up ON u.user_id = up.user_id LEFT JOIN permissions p ON p.permission_id = up.permission_id GROUP BY u.user_id")
-def a6_to_wide_whole(v: Iam) -> DataFrame:
+def a6_to_wide(v: Iam) -> DataFrame:
     """The wide matrix over all permissions, each row told by its columns that are 1."""
     wide = io.to_wide(v.up, v.users, _all_columns(v))
     names = wide.columns[1:]
@@ -121,24 +132,13 @@ def b6_user_applications(v: Iam) -> DataFrame:
     return catalog.user_application_matrix(v.up, v.permissions, v.applications)
 
 
-@query("SELECT u.user_id, permission_id, count(permission_id) AS value FROM users u LEFT JOIN (SELECT * FROM rights WHERE user_id % 7 <> 0) r ON u.user_id = r.user_id GROUP BY u.user_id, permission_id")
-def b7_aligned_matrix(v: Iam) -> DataFrame:
-    return catalog.aligned_matrix(v.rights.where("user_id % 7 <> 0"), v.users)
-
-
-@query("SELECT u.user_id, coalesce(string_agg(CAST(permission_id AS VARCHAR), ',' ORDER BY permission_id), '') AS permissions FROM users u LEFT JOIN (SELECT * FROM up WHERE user_id % 7 <> 0) r ON u.user_id = r.user_id GROUP BY u.user_id")
-def b8_permission_lists(v: Iam) -> DataFrame:
-    lists = catalog.permission_lists(v.rights.where("user_id % 7 <> 0"), v.users)
-    return lists.select("user_id", F.array_join("permissions", ",").alias("permissions"))
-
-
 @query("SELECT u.user_id, permission_id, count(permission_id) AS value FROM users u LEFT JOIN rights r ON u.user_id = r.user_id GROUP BY u.user_id, permission_id")
-def b7_aligned_matrix_whole(v: Iam) -> DataFrame:
+def b7_aligned_matrix(v: Iam) -> DataFrame:
     return catalog.aligned_matrix(v.rights, v.users)
 
 
 @query("SELECT u.user_id, coalesce(string_agg(CAST(permission_id AS VARCHAR), ',' ORDER BY permission_id), '') AS permissions FROM users u LEFT JOIN up r ON u.user_id = r.user_id GROUP BY u.user_id")
-def b8_permission_lists_whole(v: Iam) -> DataFrame:
+def b8_permission_lists(v: Iam) -> DataFrame:
     return catalog.permission_lists(v.rights, v.users).select("user_id", F.array_join("permissions", ",").alias("permissions"))
 
 
@@ -204,19 +204,11 @@ def c6_attribute_distributions(v: Iam) -> DataFrame:
     return stats.attribute_distributions(v.users)
 
 
-@query("""
-, t AS (SELECT user_id, list(permission_id) AS p, row_number() OVER (ORDER BY user_id) AS i FROM up GROUP BY user_id ORDER BY user_id LIMIT 1000),
-s AS (SELECT len(list_intersect(a.p, b.p)) / len(list_distinct(a.p || b.p))::DOUBLE AS n FROM t a JOIN t b ON b.i BETWEEN a.i + 1 AND a.i + 19 WHERE a.i <= 500)
-SELECT round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, round(stddev_pop(n), 6) AS std, round(min(n), 6) AS min, round(max(n), 6) AS max, round(quantile_cont(n, 0.25), 6) AS q1, round(quantile_cont(n, 0.75), 6) AS q3, count(*) AS pairs FROM s""")
-def c7_sampled_similarity(v: Iam) -> DataFrame:
-    return stats.sampled_similarity(v.up)
-
-
 @query("""
 , t AS (SELECT user_id, list(permission_id) AS p, row_number() OVER (ORDER BY md5('42-' || user_id), user_id) AS i FROM up GROUP BY user_id ORDER BY md5('42-' || user_id), user_id LIMIT 1000),
 s AS (SELECT len(list_intersect(a.p, b.p)) / len(list_distinct(a.p || b.p))::DOUBLE AS n FROM t a JOIN t b ON b.i BETWEEN a.i + 1 AND a.i + 19 WHERE a.i <= 500)
 SELECT round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, round(stddev_pop(n), 6) AS std, round(min(n), 6) AS min, round(max(n), 6) AS max, round(quantile_cont(n, 0.25), 6) AS q1, round(quantile_cont(n, 0.75), 6) AS q3, count(*) AS pairs FROM s""")
-def c7_sampled_similarity_hashed(v: Iam) -> DataFrame:
+def c7_sampled_similarity(v: Iam) -> DataFrame:
     return stats.sampled_similarity(v.up, seed=42)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,8 +61,37 @@ def from_wide(wide: DataFrame) -> DataFrame:
     return long.where(F.col("value") > 0.5).select("user", "permission")
 
 
+def from_wide_observed(wide: DataFrame) -> tuple[DataFrame, Observation]:
+    """from_wide, and figures of the matrix that its first action gathers on the way (see wide_report).
+
+    Nothing is read twice: the cells that count are added up row by row before they are
+    turned into rows of their own.
+    """
+    report = Observation()
+    columns = wide.columns[1:]
+    held = F.aggregate(F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns]), F.lit(0).cast("long"), lambda n, x: n + F.when(x > 0.5, 1).otherwise(0)) if columns else F.lit(0).cast("long")
+    seen = wide.observe(report, F.count(F.lit(1)).alias("users"), F.lit(len(columns)).cast("long").alias("permissions"), F.coalesce(F.sum(held), F.lit(0)).alias("ones"))
+    return from_wide(seen), report
+
+
+def wide_report(report: Observation) -> Row:
+    """users, permissions, ones and sparsity_pct (100 for a matrix without cells), once an action has run."""
+    got = report.get
+    cells = got["users"] * got["permissions"]
+    return Row(users=got["users"], permissions=got["permissions"], ones=got["ones"], sparsity_pct=100.0 * (1 - got["ones"] / cells) if cells else 100.0)
+
+
+def _wide(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    return spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.json(path)
+
+
 def read_wide_matrix(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return from_wide(spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.json(path))
+    return from_wide(_wide(spark, path, fmt))
+
+
+def read_wide_observed(spark: SparkSession, path: str, fmt: str = "csv") -> tuple[DataFrame, Observation]:
+    """read_wide_matrix with its report."""
+    return from_wide_observed(_wide(spark, path, fmt))
 
 
 def nested_roles(roles: DataFrame, members: DataFrame, perms: DataFrame) -> DataFrame:
