@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +21,12 @@ from accessmine.llm.common import stored
 #: Seed words, fixed values: two lexicons of common English insults.
 INSULTS = "idiot moron stupid dumb imbecile fool clown loser pathetic retard jerk".split()
 CONTEMPT = "scum trash garbage vermin filth worthless disgusting subhuman parasite scumbag".split()
-#: Most mined words and most mined word beginnings.
-WORDS, STEMS, STEM = 4000, 2000, 5
+#: Letters of a word beginning.
+STEM = 5
+#: Places of the classifier's features; terms go to them by a hash, however many there are.
+FEATURES = 1 << 18
 LEAST_DOCS, LEAST_PRECISION = 5, 0.7
-#: Labelled documents to learn from, at most: those with the lowest hashes of their ids.
+#: Labelled documents to learn from, about, if there are more: those whose ids have the lowest hashes.
 LABELLED = 100_000
 VOTERS = ("insults", "contempt", "words_a", "words_b", "stems_a", "stems_b", "dense", "shouting", "exclaiming", "repeated")
 
@@ -51,11 +53,15 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mined(train: DataFrame) -> tuple[list[str], list[str]]:
-    """Words and word beginnings that labelled toxic documents of train (text, toxic) have and others hardly."""
+    """Words and word beginnings that labelled toxic documents of train (text, toxic) have and others hardly.
+
+    All of them: as each is in LEAST_DOCS toxic documents, there are no more than a fifth of
+    the words that the labelled sample's toxic documents have.
+    """
     counts = train.select("text", "toxic").mapInArrow(_mine, "term string, t bigint, n bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     good = counts.where((F.col("t") >= LEAST_DOCS) & (F.col("t") >= LEAST_PRECISION * (F.col("t") + F.col("n"))))
-    pick = lambda cond, most: [r["term"] for r in good.where(cond).orderBy(F.desc("t"), "term").limit(most).select("term").collect()]
-    return pick(~F.col("term").endswith("*"), WORDS), [x[:-1] for x in pick(F.col("term").endswith("*"), STEMS)]
+    found = sorted(good.select("term").toArrow()["term"].to_pylist())
+    return [x for x in found if not x.endswith("*")], [x[:-1] for x in found if x.endswith("*")]
 
 
 def _voting(words: list[str], stems: list[str], spark):
@@ -136,24 +142,28 @@ def scored(docs: DataFrame, learn: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and ``score`` for every row of docs (doc_id, text).
 
     learn: (doc_id) of the documents to learn from; labels: (doc_id, toxic), of which only
-    those in learn are used, and of these LABELLED at most. A null or empty text has no term and gets the score of such a
-    text; repeated rows are scored alike; an empty table gives an empty result. Without
-    labels the seed lexicons and patterns vote alone.
-
-    What reaches the driver: the mined lexicons (bounded), and a count for each vote
-    pattern and label (1,024 times 3 at most).
+    those in learn are used, and of these about LABELLED if there are more. A null or empty
+    text has no term and gets the score of such a text; repeated rows are scored alike; a
+    very long text counts whole; an empty table gives an empty result. Other columns,
+    whatever their names, are not read. Without labels the seed lexicons and patterns vote
+    alone.
+
+    What reaches the driver: the mined lexicons (bounded by the labelled sample), and a count
+    for each vote pattern and label (1,024 times 3 at most).
     """
     spark = docs.sparkSession
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.join(learn.select("doc_id").distinct(), "doc_id", "left_semi")
-    marks = stored(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "labels")
+    marks = stored(marks, "labels")
+    known = marks.count()
+    if known > LABELLED:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int((1 << 32) * LABELLED / known))
     # few enough to go to the texts, which then aren't shuffled
     words, stems = mined(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"))
     voted = stored(docs.select("doc_id", _voting(words, stems, spark)("text").alias("_v")).select("doc_id", "_v.*"), "votes")
     pool = voted.join(learn.select("doc_id").distinct(), "doc_id", "left_semi").join(marks, "doc_id", "left").withColumn("label", F.coalesce("toxic", F.lit(-1)))
     pool = stored(pool.groupBy("terms", "votes", "label").agg(F.count(F.lit(1)).alias("n")), "pool")
     table = pool.groupBy("votes", "label").agg(F.sum("n").alias("n")).orderBy("votes", "label").collect()
-    vocabulary = sorted({*words, *(f"{s}*" for s in stems), *INSULTS, *CONTEMPT, "?dense", "?shouting", "?exclaiming"})
     if not table:
         return voted.select("doc_id", F.lit(0.0).alias("score"))
     votes = np.array([[r["votes"] >> k & 1 for k in range(len(VOTERS))] for r in table], float)
@@ -163,8 +173,7 @@ def scored(docs: DataFrame, learn: DataFrame, labels: DataFrame) -> DataFrame:
     train = train.groupBy("terms").agg(F.sum(F.col("n") * F.col("p")).alias("yes"), F.sum(F.col("n") * (1 - F.col("p"))).alias("no"))
     sides = F.array(F.struct(F.lit(1.0).alias("label"), F.col("yes").alias("weight")), F.struct(F.lit(0.0).alias("label"), F.col("no").alias("weight")))
     train = train.select("terms", F.explode(sides).alias("s")).select("terms", "s.*").where("weight > 0")
-    turn = CountVectorizerModel.from_vocabulary(vocabulary, "terms", "features", minTF=0.0)
-    turn.setBinary(True)
+    turn = HashingTF(numFeatures=FEATURES, binary=True, inputCol="terms", outputCol="features")
     model = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=40, standardization=False).fit(turn.transform(train))
     out = model.transform(turn.transform(voted.select("doc_id", "terms")))
     return out.select("doc_id", vector_to_array("probability")[1].alias("score"))
