@@ -18,6 +18,21 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STEP_BYTES = 1 << 18
 
 
+#: Bytes of a batch that goes to a Python worker, where the session has Spark's own default of 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def light_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session from now on, unless it has set a size itself.
+
+    What a task makes of a batch of texts is several times its size, and an executor runs
+    several tasks; small batches cost next to nothing.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

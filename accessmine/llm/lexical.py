@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from accessmine.llm.common import LOWER, UPPER, lowered, mixed, numbered, own_ids, steps, stored, utf8, words_of
+from accessmine.llm.common import LOWER, UPPER, light_batches, lowered, mixed, numbered, own_ids, steps, stored, utf8, words_of
 
 #: Terms are runs of ASCII letters and digits and of anything beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -112,6 +112,7 @@ def indexed(docs: DataFrame) -> Index:
     Blocks hold documents of like size, whose bits they share out by document: a bit's slice
     is a bitmap over the block. Documents without a term aren't in it.
     """
+    light_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("_row", F.col("doc_id")) if own_ids(docs) else numbered(docs, "_row")
     signatures = stored(docs.select("_row", "text").mapInArrow(_sliced, "bits int, rows array<long>, n array<long>, docs long, terms long, slices binary"), "lexical-index")

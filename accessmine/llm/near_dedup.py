@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from accessmine.llm.common import fresh, long_lists, mixed, numbered, own_ids, shingle_sets, stored
+from accessmine.llm.common import fresh, light_batches, long_lists, mixed, numbered, own_ids, shingle_sets, stored
 
 #: Bands of so many coordinates: a pair of Jaccard 0.8 misses them all with a chance of 1.3e-7.
 BANDS, ROWS = 40, 5
@@ -229,6 +229,7 @@ def near_deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80
     Where doc_ids are null or repeated, rows go by a number of their own, so that no text
     goes but for a near copy that stays, and of rows that repeat an id and a text one stays.
     """
+    light_batches(docs.sparkSession)
     if own_ids(docs):
         own, rows = "doc_id", docs
     else:
