@@ -29,7 +29,7 @@ def light_batches(spark: SparkSession) -> None:
     several tasks; small batches cost next to nothing.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "67108864", "64m", "64MB"):
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(key, str(BATCH_BYTES))
 
 
