@@ -116,11 +116,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Columns of docs, in shards, shuffled within each. Documents without words are never
     taken. Null sources form one source, the last; rows that repeat a doc_id and its text
-    are drawn alike; an empty table gives an empty result.
+    are drawn alike, by the largest take of any; texts of any length are cut at words only;
+    columns may have any names beside; an empty table gives an empty result.
     """
     sizes = stored(sized(docs), "mix-sizes")
     _, draws = plan(sizes, **options)
-    draws = draws.dropDuplicates(["doc_id", "_h", "epoch"])
+    # rows that repeat are drawn alike: where one was cut and another not, by the larger take
+    most = F.max(F.struct("take", "shard", "place", "size")).alias("_m")
+    draws = draws.groupBy("doc_id", "_h", "epoch").agg(most).select("doc_id", "_h", "_m.*")
     own = docs.select(F.struct("*").alias("_doc"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("_h"))
     draws = draws.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hh"), "take", "size", "shard", "place")
     out = own.join(draws, (own["_h"] == draws["_hh"]) & own["doc_id"].eqNullSafe(draws["_id"]))
@@ -135,7 +138,13 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source)."""
+    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source).
+
+    Null texts have no words and are never taken, null sources form one source, the last; of
+    rows that repeat a doc_id and its text each has an equal share of what they give
+    together. Texts count whole; other columns, whatever their names, are not read; an empty
+    table gives an empty result.
+    """
     sizes = stored(sized(docs), "mix-sizes")
     goals, draws = plan(sizes, **options)
     taken = draws.groupBy(F.col("doc_id").alias("_id"), "_h").agg(F.sum("take").alias("_taken"))

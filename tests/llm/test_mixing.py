@@ -73,3 +73,12 @@ def test_splitting_tree_meets_quotas(spark):
     assert len(sizes) == 7 and max(sizes) - min(sizes) <= 3 and sum(sizes) == 1000
     share = [r["count"] for r in out.groupBy("shard", "_source_key").count().collect()]
     assert min(share) > 20 and out.select("_block").distinct().count() == 1000
+
+
+def test_repeated_rows_are_cut_alike(spark):
+    """Many copies of few rows, so that cuts fall between copies: reruns agree."""
+    rows = [(k % 7, " ".join(f"w{k % 7}{j}" for j in range(9 + k % 7)), "ab"[k % 2]) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = sorted(map(tuple, mixing.mixed(docs.repartition(3), seed=3).collect()))
+    assert first == sorted(map(tuple, mixing.mixed(docs.repartition(5, "text"), seed=3).collect()))
+    assert len(first) >= 400
