@@ -24,7 +24,7 @@ CONTEMPT = "scum trash garbage vermin filth worthless disgusting subhuman parasi
 #: Letters of a word beginning.
 STEM = 5
 #: Places of the classifier's features; terms go to them by a hash, however many there are.
-FEATURES = 1 << 18
+FEATURES = 1 << 16
 LEAST_DOCS, LEAST_PRECISION = 5, 0.7
 #: Labelled documents to learn from, about, if there are more: those whose ids have the lowest hashes.
 LABELLED = 100_000
