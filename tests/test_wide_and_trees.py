@@ -74,3 +74,14 @@ def test_permission_models_are_those_of_single_fits(spark, monkeypatch):
     assert out.count() == 240 * 9
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan.split("Cross")[1]  # permissions meet distinct profiles, not users
+
+
+def test_nearest_centroids_either_way(spark):
+    """One matrix in every task, or a join: the same; users that share nothing with any centroid as well."""
+    r = np.random.default_rng(6)
+    up = spark.createDataFrame([(u, int(p)) for u in range(80) for p in r.choice(30, r.integers(1, 6), replace=False)] + [(500, 999)], "user_id long, permission_id long")
+    c = spark.createDataFrame([(k, int(p), float(r.random())) for k in (3, 5, 9) for p in r.choice(30, 12, replace=False)] + [(11, 2, 0.0)], "label long, permission_id long, value double")
+    rows = lambda df: sorted((x.user_id, x.label, round(x.d2, 7)) for x in df.collect())
+    whole = rows(clustering.assign_sparse(up, c))
+    assert len(whole) == 81 and whole == rows(clustering.assign_sparse(up, c, cells=1))
+    assert clustering.assign_sparse(up, c.limit(0)).collect() == []
