@@ -135,6 +135,21 @@ def silhouette_squared(points: DataFrame, labels: DataFrame) -> DataFrame:
     return silhouette_squared_points(points, labels).agg(F.coalesce(F.avg("silhouette"), F.lit(0.0)).alias("silhouette_squared"))
 
 
+def sweep_scores(points: DataFrame, labelled: dict[int, DataFrame]) -> DataFrame:
+    """(k, inertia, silhouette, davies_bouldin) of several labelings (id, label) of the same points, by k.
+
+    Inertia is the sum of squared distances to centroids; the silhouette is by squared
+    distances, so every labeling takes passes over the points but no pairs of them.
+    """
+    out = None
+    for k, labels in labelled.items():
+        spread = _with_centroid(points, labels)[0].agg(F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0.0)).alias("inertia"))
+        row = spread.crossJoin(silhouette_squared(points, labels)).crossJoin(davies_bouldin(points, labels))
+        row = row.select(F.lit(k).cast("long").alias("k"), "inertia", F.col("silhouette_squared").alias("silhouette"), "davies_bouldin")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def davies_bouldin(points: DataFrame, labels: DataFrame) -> DataFrame:
     """One row; infinite with fewer than two clusters."""
     rows, c = _with_centroid(points, labels)

@@ -260,13 +260,26 @@ def f3_sweep_k(v: Iam) -> DataFrame:
     return clustering.sweep_k(v.points, range(4, 13, 4), n_init=1)
 
 
-_SWEEP = "SELECT label + 2 AS k, 1000.0::DOUBLE / (label + 1) AS inertia, ((label * 7) % 5) / 10.0::DOUBLE AS silhouette FROM (SELECT DISTINCT label FROM embeddings)"
+_SWEEP = """
+, ks AS (SELECT unnest(range(2, 9)) AS k), p AS (SELECT k, id, label % k AS label, e FROM points, ks),
+cent AS (SELECT k, label, list(m ORDER BY i) AS c FROM (SELECT k, label, i, avg(x) AS m FROM (SELECT k, label, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM p) GROUP BY k, label, i) GROUP BY k, label),
+near AS (SELECT p.k, p.label, sum(list_distance(e, c) ** 2) AS w, avg(list_distance(e, c)) AS s, any_value(c) AS c FROM p JOIN cent ON p.k = cent.k AND p.label = cent.label GROUP BY p.k, p.label),
+db AS (SELECT k, avg(r) AS db FROM (SELECT a.k, a.label, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM near a JOIN near b ON a.k = b.k AND a.label <> b.label GROUP BY a.k, a.label) GROUP BY k),
+far AS (SELECT a.id, a.label AS own, b.label, sum(list_distance(a.e, b.e) ** 2) AS t, count(*) AS n FROM points a, points b GROUP BY a.id, a.label, b.label),
+fk AS (SELECT k, id, own % k AS own, label % k AS label, sum(t) AS t, sum(n) AS n FROM far, ks GROUP BY 1, 2, 3, 4),
+sp AS (SELECT k, id, max(n) FILTER (own = label) AS size, max(t / (n - 1)) FILTER (own = label) AS a, min(t / n) FILTER (own <> label) AS b FROM fk GROUP BY k, id),
+sil AS (SELECT k, avg(CASE WHEN size > 1 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM sp GROUP BY k),
+s AS (SELECT k, inertia, silhouette, db FROM (SELECT k, sum(w) AS inertia FROM near GROUP BY k) JOIN sil USING (k) JOIN db USING (k))"""
 
 
-@query(f", s AS ({_SWEEP}), x AS (SELECT k, silhouette, (inertia - (SELECT min(inertia) FROM s)) / (SELECT max(inertia) - min(inertia) FROM s) AS x FROM s), d AS (SELECT k, silhouette, round(x - 2 * lag(x, 1) OVER (ORDER BY k) + lag(x, 2) OVER (ORDER BY k), 12) AS d FROM x), e AS (SELECT k AS e FROM d WHERE d IS NOT NULL ORDER BY d DESC, k LIMIT 1), b AS (SELECT k AS b FROM d ORDER BY silhouette DESC, k LIMIT 1) SELECT CAST(e AS BIGINT) AS elbow_k, CAST(b AS BIGINT) AS silhouette_k, CAST(CASE WHEN abs(e - b) <= 2 THEN b ELSE e END AS BIGINT) AS chosen_k FROM e, b")
+def _sweep(v: Iam) -> DataFrame:
+    """Seven coarsenings of the points' own labels, scored."""
+    return metrics.sweep_scores(v.points, {k: v.point_labels.select("id", (F.col("label") % k).alias("label")) for k in range(2, 9)})
+
+
+@query(_SWEEP + ", x AS (SELECT k, silhouette, (inertia - (SELECT min(inertia) FROM s)) / (SELECT max(inertia) - min(inertia) FROM s) AS x FROM s), d AS (SELECT k, silhouette, round(x - 2 * lag(x, 1) OVER (ORDER BY k) + lag(x, 2) OVER (ORDER BY k), 12) AS d FROM x), e AS (SELECT k AS e FROM d WHERE d IS NOT NULL ORDER BY d DESC, k LIMIT 1), b AS (SELECT k AS b FROM d ORDER BY silhouette DESC, k LIMIT 1) SELECT CAST(e AS BIGINT) AS elbow_k, CAST(b AS BIGINT) AS silhouette_k, CAST(CASE WHEN abs(e - b) <= 2 THEN b ELSE e END AS BIGINT) AS chosen_k FROM e, b")
 def f4_choose_k(v: Iam) -> DataFrame:
-    s = v.point_labels.select("label").distinct().select((F.col("label") + 2).alias("k"), (1000.0 / (F.col("label") + 1)).alias("inertia"), ((F.col("label") * 7) % 5 / 10.0).alias("silhouette"))
-    return clustering.choose_k(s)
+    return clustering.choose_k(cut(_sweep(v)))
 
 
 @query()
@@ -333,10 +346,9 @@ def f13_refine(v: Iam) -> DataFrame:
     return refine.refine(v.points, v.point_labels, iterations=2, least=0.4)
 
 
-@query(f", s AS ({_SWEEP}), t AS (SELECT k, silhouette, inertia / 100 AS db, 100 * silhouette - 10 * (inertia / 100) AS score FROM s) SELECT CAST(k AS BIGINT) AS k, round(silhouette, 6) AS silhouette, round(db, 6) AS davies_bouldin, round(score, 6) AS score, k = (SELECT k FROM t ORDER BY score DESC, k LIMIT 1) AS best FROM t")
+@query(_SWEEP + ", t AS (SELECT k, silhouette, db, 100 * silhouette - 10 * db AS score FROM s) SELECT CAST(k AS BIGINT) AS k, round(silhouette, 6) AS silhouette, round(db, 6) AS davies_bouldin, round(score, 6) AS score, k = (SELECT k FROM t ORDER BY score DESC, k LIMIT 1) AS best FROM t")
 def f14_combined_score(v: Iam) -> DataFrame:
-    s = v.point_labels.select("label").distinct().select((F.col("label") + 2).alias("k"), ((F.col("label") * 7) % 5 / 10.0).alias("silhouette"), (1000.0 / (F.col("label") + 1) / 100).alias("davies_bouldin"))
-    return refine.combined_score(s)
+    return refine.combined_score(cut(_sweep(v).drop("inertia")))
 
 
 @query()

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from accessmine.functions.common import shared_dir, small
 from accessmine.operators import catalog, features, quality, stats
-from accessmine.plans.iam_view import Iam
-from accessmine.plans.registry import query
+from accessmine.plans.iam_view import Iam, with_view
+from accessmine.plans.registry import ORACLE, query
 from accessmine.sources import io
 
 BAD = ", bad AS (SELECT * FROM rights UNION ALL SELECT -1, 1, 10 UNION ALL SELECT NULL, 1, 10 UNION ALL SELECT 1, 1, -5 UNION ALL SELECT 1, NULL, 10)"
@@ -227,7 +227,17 @@ def c10_application_stats(v: Iam) -> DataFrame:
     return stats.application_stats(v.rights, v.permissions, v.applications)
 
 
-@query()
+def _part(name: str, prefix: str = "") -> str:
+    """A query's SQL as one row beside others, its columns with a prefix."""
+    own = ORACLE[name].removeprefix(with_view("").rstrip()).strip()
+    own = f"WITH {own[1:]}" if own.startswith(",") else own
+    return f'(SELECT COLUMNS(*) AS "{prefix}\\0" FROM ({own}))'
+
+
+_PARTS = {"c1_basic_stats": "", "c2_matrix_metrics": "matrix_", "c3_perms_per_user": "perms_per_user_", "c5_users_per_perm": "users_per_perm_", "c7_sampled_similarity": "similarity_", "c8_entropy": "", "c9_gini": "", "c10_application_stats": "app_"}
+
+
+@query("SELECT * FROM " + ", ".join(_part(n, p) for n, p in _PARTS.items()))
 def c11_statistical_summary(v: Iam) -> DataFrame:
     return stats.statistical_summary(v.users, v.applications, v.permissions, v.rights)
 

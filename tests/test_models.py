@@ -1,8 +1,10 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from accessmine.operators import catalog, clustering, factor, generate, graph, predict, refine
+from accessmine.operators import catalog, clustering, factor, generate, graph, metrics, predict, refine
 from accessmine.sources import io
 from tests import fixtures as fx
 
@@ -41,6 +43,36 @@ def test_generator_is_reproducible_and_planted(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     badge = generate.badge_rights(users, perms, apps)
     assert badge.count() == 400 and badge.join(a, badge.columns, "left_anti").count() == 0
+    assert apps.count() == 46 and users.select("position").distinct().count() == 28 and users.select("department").distinct().count() == 9
+    each = {r.application_id: set(r.names) for r in perms.groupBy("application_id").agg(F.collect_list("perm_name").alias("names")).collect()}
+    sizes = [len(x) for x in each.values()]
+    assert len(each) == 46 and min(sizes) >= 5 and 7 <= sum(sizes) / 46 <= 11 and perms.count() == sum(sizes)
+    assert all("access_building" in each[r.application_id] for r in apps.where("category = 'FACILITIES'").collect())
+    # each group holds as many permissions of its pools as it should, and of no other category
+    kind = {r.application_id: r.category for r in apps.collect()}
+    drawn = rules.collect()
+    for group, (_, pools) in generate.GROUPS.items():
+        own = [kind[r.application_id] for r in drawn if r.group == group]
+        assert all(sum(c in generate.POOLS[p] for c in own) == k for p, k in pools) and len(own) == sum(k for _, k in pools)
+
+
+def test_sweep_scores(spark):
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(30, 3)), 3)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    labels = {k: np.arange(30) % k for k in (2, 4)}
+    frames = {k: spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "id long, label long") for k, y in labels.items()}
+    got = {row.k: row for row in metrics.sweep_scores(points, frames).collect()}
+    assert sorted(got) == [2, 4]
+    for k, y in labels.items():
+        c = np.array([x[y == j].mean(0) for j in range(k)])
+        d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+        a = np.array([d2[i, y == y[i]].sum() / ((y == y[i]).sum() - 1) for i in range(30)])
+        b = np.array([min(d2[i, y == j].mean() for j in range(k) if j != y[i]) for i in range(30)])
+        s = [np.sqrt(((x[y == j] - c[j]) ** 2).sum(1)).mean() for j in range(k)]
+        db = np.mean([max((s[i] + s[j]) / np.linalg.norm(c[i] - c[j]) for j in range(k) if j != i) for i in range(k)])
+        assert abs(got[k].inertia - ((x - c[y]) ** 2).sum()) < 1e-9
+        assert abs(got[k].silhouette - ((b - a) / np.maximum(a, b)).mean()) < 1e-9 and abs(got[k].davies_bouldin - db) < 1e-9
 
 
 def test_wide_round_trip(spark, tmp_path):
@@ -53,7 +85,7 @@ def test_wide_round_trip(spark, tmp_path):
 
 
 def test_exports(spark, tmp_path):
-    from accessmine.operators import metrics, roles
+    from accessmine.operators import roles
 
     up, labels = fx.up(spark), fx.labels(spark)
     r = roles.extract_roles(up, labels)
@@ -63,6 +95,27 @@ def test_exports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "role_details.csv")).columns == ["Role", "Permission", "Frequency", "Meets_Impact_Threshold"]
     io.write_matrix(catalog.user_permission_matrix(up, catalog.dense_index(fx.users(spark), "user_id", "matrix_user_idx"), catalog.dense_index(up.select("permission_id").distinct(), "permission_id", "matrix_perm_idx")), str(tmp_path / "m"))
     assert io.read_matrix(spark, str(tmp_path / "m")).count() == up.count()
+    io.write_record(metrics.role_metrics(r).select(F.lit(2).alias("roles"), F.lit(None).cast("long").alias("missing")), str(tmp_path / "summary.json"))
+    assert [json.loads(x.value) for x in spark.read.text(str(tmp_path / "summary.json")).distinct().collect()] == [{"roles": 2}]
+    results = spark.createDataFrame([("volumes", True, 8), ("badge", False, 1)], "test string, passed boolean, n long")
+    io.write_validation(results, str(tmp_path / "validation.json"))
+    tests = json.loads(spark.read.text(str(tmp_path / "validation.json")).first().value)["tests"]
+    assert sorted((t["test"], t["passed"], t["n"]) for t in tests) == [("badge", False, 1), ("volumes", True, 8)]
+    comparison = spark.createDataFrame([("dbscan", 0.7), ("nmf", 0.4)], "method string, score double")
+    io.export_comparison(comparison, comparison.orderBy(F.desc("score")).limit(1), str(tmp_path / "cmp"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "cmp" / "comparison.csv"))
+    assert sorted(map(tuple, back.collect())) == [("dbscan", "0.7"), ("nmf", "0.4")]
+    assert json.loads(spark.read.text(str(tmp_path / "cmp" / "recommendation.json")).first().value) == {"method": "dbscan", "score": 0.7}
+
+
+def test_a_saved_model_predicts_the_same(spark, tmp_path):
+    kinds = ("IT", "HR")
+    users = spark.createDataFrame([(i, kinds[i % 2], kinds[i % 2], "Paris", "CDI", "Lead") for i in range(40)], "user_id long, position string, department string, location string, contract_type string, seniority string")
+    model, *_ = predict.train_role_classifier(users, users.select("user_id", (F.col("user_id") % 2).cast("int").alias("role_id")), trees=3)
+    io.save_model(model, str(tmp_path / "model"))
+    again = io.load_model(str(tmp_path / "model"))
+    rows = [sorted((r.user_id, r.prediction) for r in m.transform(users).select("user_id", "prediction").collect()) for m in (model, again)]
+    assert rows[0] == rows[1] and {p for _, p in rows[0]} == {0.0, 1.0}
 
 
 def test_walks_and_embeddings(spark):
