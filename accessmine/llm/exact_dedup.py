@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accessmine.llm.common import _LOW, fresh, lowered, numbered, own_ids, stored, utf8
+from accessmine.llm.common import _LOW, fresh, light_batches, lowered, numbered, own_ids, stored, utf8
 
 #: Two primes below 2**31: a product of residues fits 64 bits.
 PRIMES = (2147483647, 2147483629)
@@ -162,7 +162,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Where doc_ids are null or repeated, rows go by a number of their own, so that no text
     goes without a copy that stays, and of rows that repeat an id and a text one stays.
+    Null counts as empty; texts of any length are compared whole; columns may have any names
+    beside; an empty table stays empty.
     """
+    light_batches(docs.sparkSession)
     if own_ids(docs):
         own, rows, order = "doc_id", docs, F.col("doc_id")
     else:

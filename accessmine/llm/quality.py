@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from accessmine.llm.common import stored
+from accessmine.llm.common import light_batches, stored
 
 SYMBOLS = "#*$%&|<>"
 #: Word counts that part the strata.
@@ -147,14 +147,26 @@ def judged(docs: DataFrame, labels: DataFrame, allowed: float = FALSE_REJECTION,
 
 
 def quality_filtered(docs: DataFrame, labels: DataFrame, allowed: float = FALSE_REJECTION, error: float = ERROR) -> DataFrame:
-    """The rows of docs that pass; columns as they were."""
+    """The rows of docs that pass; columns as they were, whatever their names.
+
+    A null or empty text fails the base rules, so its row goes; repeated rows get the same
+    verdict; texts of any length are measured whole. Without labels only the base rules
+    hold. An empty table stays empty.
+    """
+    light_batches(docs.sparkSession)
     measures = stored(with_measures(docs.select("doc_id", "text")).drop("text"), "quality")
     found = cutoffs(holdout(measures, labels), allowed, error)
     return with_measures(docs.select(F.struct("*").alias("_doc"), "text")).where(verdict(found)).select("_doc.*")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row of counts and verdicts for each row of docs; texts are measured once."""
+    """doc_id, counts, base_failed and kept for each row of docs (doc_id, text); texts are measured once.
+
+    A null or empty text has no words and fails the base rules. Repeated rows get the same
+    verdict; texts of any length are measured whole; other columns, whatever their names,
+    are not read. Without labels only the base rules hold. An empty table gives an empty
+    result.
+    """
     marked = stored(with_measures(docs.select("doc_id", "text")).drop("text"), "quality")
     m = [F.col(f"_m.{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     kept = verdict(cutoffs(holdout(marked, labels)))
