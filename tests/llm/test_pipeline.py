@@ -47,3 +47,21 @@ def test_stages_hold_against_brute_force(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 100 and "sequence_id" in out.columns
+
+
+def test_stages_take_odd_rows(spark, odd, none):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns, and no rows at all."""
+    texts = {r.text for r in odd.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns and stage(spark, none, SF).count() == 0
+        got = [r.text for r in out.collect()]
+        assert got and (name == "mixing" or set(got) <= texts)
+        if name in ("quality_rules", "mixing"):
+            assert all(t and WORD.search(t) for t in got)
+        if name == "exact_dedup":
+            low = [(t or "").translate(LOW) for t in got]
+            assert len(set(low)) == len(low) and set(low) == {(t or "").translate(LOW) for t in texts}
+    pack = dict(corpus_pipeline.STAGES)["packing"]
+    ends = pack(spark, odd, SF).where("start + length = doc_tokens").count()
+    assert ends == odd.count() and pack(spark, none, SF).count() == 0
