@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +156,31 @@ def h16_recommend_model(v: Iam) -> DataFrame:
     return compare.recommend_model(_compared(v).withColumn("silhouette", 0.1 + 0.05 * F.col("ord")))
 
 
+def _by_category(v: Iam) -> DataFrame:
+    """(id, embedding): which share of a user's applications each category has."""
+    share = [F.avg((F.col("permission_id") % 5 == c).cast("double")) for c in range(5)]
+    return v.app_rights.groupBy(F.col("user_id").alias("id")).agg(F.array(*share).alias("embedding"))
+
+
+def _scored(v: Iam, points: DataFrame, model: str, ord_: int, grouping: int, impact: float) -> DataFrame:
+    r = roles.extract_roles(v.up, v.labels, grouping, impact)
+    own = roles.effective_labels(v.labels, r).select(F.col("user_id").alias("id"), F.col("effective_label").alias("label"))
+    score = metrics.silhouette_squared(points, own).withColumnRenamed("silhouette_squared", "silhouette")
+    return metrics.coverage_metrics(roles.effective_labels(v.labels, r), r).crossJoin(score).select(F.lit(model).alias("model"), F.lit(ord_).alias("ord"), "num_roles", "noise_pct", "silhouette")
+
+
+_SHARES = ", ".join(f"avg(CASE WHEN permission_id % 5 = {c} THEN 1.0::DOUBLE ELSE 0 END)" for c in range(5))
+_SCORED = _MODELS + f", e AS (SELECT user_id, [{_SHARES}] AS e FROM ap GROUP BY user_id), kept AS (SELECT 0 AS ord, label FROM sizes WHERE size >= 50 UNION ALL SELECT 1, label FROM sizes WHERE size >= 60 UNION ALL SELECT 2, label FROM sizes WHERE size >= 40), pt AS (SELECT ord, user_id, l.label, e FROM labels l JOIN kept ON kept.label = l.label JOIN e USING (user_id)), pd AS (SELECT a.ord, a.user_id, a.label AS own, b.label, sum(list_distance(a.e, b.e) ** 2) AS t, count(*) AS n FROM pt a JOIN pt b ON a.ord = b.ord GROUP BY ALL), ps AS (SELECT ord, user_id, max(n) FILTER (own = label) AS size, max(t / (n - 1)) FILTER (own = label) AS a, min(t / n) FILTER (own <> label) AS b FROM pd GROUP BY ord, user_id), sil AS (SELECT ord, avg(CASE WHEN size > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS sil FROM ps GROUP BY ord)"
+
+
+@query(_SCORED + ", s AS (SELECT model, c.ord, coalesce(sil, 0) AS sil, 100 * coalesce(sil, 0) + (100 - noise_pct) + greatest(0, 20 - abs(num_roles - 10)) AS b FROM c LEFT JOIN sil ON sil.ord = c.ord) SELECT (SELECT model FROM s ORDER BY sil DESC, ord LIMIT 1) AS best_silhouette, model AS most_balanced, round(b, 6)::DOUBLE AS balance FROM s ORDER BY b DESC, ord LIMIT 1")
+def h16_recommend_measured(v: Iam) -> DataFrame:
+    """The three role models of h15 with silhouettes measured on the users' shares of applications by category."""
+    points = cut(_by_category(v))
+    every = [("small", 0, 50, 0.3), ("large", 1, 60, 0.3), ("loose", 2, 40, 0.2)]
+    return compare.recommend_model(reduce(DataFrame.unionByName, [_scored(v, points, *m) for m in every]))
+
+
 @query('SELECT role AS "Role", permission_id AS "Permission", round(frequency, 6) AS "Frequency", frequency >= 0.3 - 1e-12 AS "Meets_Impact_Threshold" FROM freq JOIN roles USING (label)')
 def a7_role_details(v: Iam) -> DataFrame:
     return io.role_details(roles.role_permissions(v.up, v.labels, _roles(v), IMPACT, all_=True))
@@ -331,6 +358,14 @@ def f11_reassign(v: Iam) -> DataFrame:
     return refine.reassign_low_quality(v.points, v.point_labels, quality)
 
 
+@query(_CENT + ", d AS (SELECT a.label, 1 / (1 + sqrt(avg(list_distance(a.e, b.e) ** 2))) AS q FROM points a JOIN points b ON a.label = b.label AND a.id <> b.id GROUP BY a.label), good AS (SELECT label FROM d WHERE q >= (SELECT avg(q) FROM d)), m AS (SELECT p.id, arg_min(cent.label, round(list_distance(p.e, c), 9)) AS new FROM points p, cent WHERE p.label NOT IN (SELECT label FROM good) AND cent.label IN (SELECT label FROM good) GROUP BY p.id) SELECT p.id, CAST(coalesce(m.new, p.label) AS BIGINT) AS label FROM points p LEFT JOIN m ON m.id = p.id")
+def f11_reassign_measured(v: Iam) -> DataFrame:
+    """Points of the clusters whose measured quality is below the mean go to the others."""
+    quality = cut(refine.cluster_quality_squared(v.points, v.point_labels))
+    mean = quality.agg(F.avg("quality")).first()[0] or 0.0
+    return refine.reassign_low_quality(v.points, v.point_labels, quality, mean)
+
+
 @query(_CENT + " SELECT CAST(a.label AS BIGINT) AS a, CAST(b.label AS BIGINT) AS b, round(list_dot_product(a.c, b.c), 6) AS similarity FROM cent a JOIN cent b ON a.label < b.label WHERE list_dot_product(a.c, b.c) > 0.0")
 def f12_similar_clusters(v: Iam) -> DataFrame:
     return refine.similar_clusters(v.points, v.point_labels, 0.0)
