@@ -73,3 +73,30 @@ def test_long_texts_go_in_parts(spark, monkeypatch):
     found = suffix_dedup._all_runs(40, 8).func(pa.array([t for _, t in rows])).to_pylist()
     whole = [sorted(p for x in r for p in range(x["p"], x["p"] + x["n"])) for r in found]
     assert whole == [list(range(max(0, len((t or "").encode()) - 39))) for _, t in rows] and docs.count() == len(rows)
+
+
+def test_passages_of_over_50_words_go_by_their_bytes(spark):
+    """Planted in two documents each: from 400 bytes on they go from both, below that they stay, whatever their words."""
+    r = random.Random(11)
+
+    def words(size, letters):
+        """Over 50 words that fill so many bytes."""
+        out = " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(51))
+        return out + "".join(r.choice("abcdef") for _ in range(size - len(out.encode())))
+
+    planted = {size: words(size, "abcdef") for size in (330, 399, 400, 401, 520)}
+    planted[700] = words(700, "äéö")
+    rows, want = [], {}
+    for size, passage in planted.items():
+        assert len(passage.split()) > 50 and len(passage.encode()) == size
+        for edges in ("[]", "()"):
+            own = " ".join("".join(r.choice("uvwxyz") for _ in range(6)) for _ in range(80))
+            want[len(rows)] = (size, 1) if size >= 400 else (0, 0)
+            rows.append((len(rows), own[: 40 * size % 500] + edges[0] + passage + edges[1] + own[::-1]))
+    for _ in range(5):
+        want[len(rows)] = (0, 0)
+        rows.append((len(rows), " ".join("".join(r.choice("abcdef") for _ in range(6)) for _ in range(200))))
+    got = {x.doc_id: x for x in sd.repeats_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {i: (x.n_removed, x.n_spans) for i, x in got.items()} == want
+    assert {i: x.n_bytes for i, x in got.items()} == {i: len(t.encode()) for i, t in rows}
+    assert sorted((i, x.n_removed, x.n_spans) for i, x in got.items()) == [(a, c, d) for a, _, c, d, _ in sorted(brute(rows, 400))]
