@@ -12,7 +12,7 @@ from accessmine.operators.metrics import PAIR_ROWS, centroids, davies_bouldin, d
 
 def cluster_quality(points: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, quality): 1 / (1 + mean distance of pairs); 0 for single points."""
-    own = distance_sums(points, labels).where("own = label").groupBy("label").agg(F.sum("total").alias("t"), F.max("n").alias("n"))
+    own = distance_sums(points, labels, same=True).groupBy("label").agg(F.sum("total").alias("t"), F.max("n").alias("n"))
     return own.select("label", F.when(F.col("n") > 1, 1 / (1 + F.col("t") / (F.col("n") * (F.col("n") - 1)))).otherwise(0.0).alias("quality"))
 
 
